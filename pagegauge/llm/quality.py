@@ -30,14 +30,14 @@ STATES = ("prose", "list", "table", "junk")
 PROSE_SHARE = 0.5
 PRIOR_WEIGHT = 20000.0
 #: values of each statistic: common words, final mark, words, symbols, shape, first letter
-SIZES = (4, 2, 4, 4, 3, 2)
+SIZES = (5, 2, 4, 4, 3, 2)
 
 #: starting probabilities of each statistic's values, by state
 _START = {
-    "prose": ((0.02, 0.06, 0.915, 0.005), (0.25, 0.75), (0.02, 0.06, 0.22, 0.70), (0.80, 0.17, 0.025, 0.005), (0.90, 0.08, 0.02), (0.15, 0.85)),
-    "list": ((0.80, 0.15, 0.045, 0.005), (0.97, 0.03), (0.30, 0.50, 0.17, 0.03), (0.40, 0.30, 0.25, 0.05), (0.35, 0.63, 0.02), (0.75, 0.25)),
-    "table": ((0.88, 0.08, 0.03, 0.01), (0.97, 0.03), (0.35, 0.35, 0.20, 0.10), (0.10, 0.25, 0.35, 0.30), (0.13, 0.02, 0.85), (0.70, 0.30)),
-    "junk": ((0.66, 0.15, 0.03, 0.16), (0.85, 0.15), (0.25, 0.25, 0.20, 0.30), (0.25, 0.15, 0.25, 0.35), (0.70, 0.05, 0.25), (0.75, 0.25)),
+    "prose": ((0.02, 0.06, 0.9198, 0.0001, 0.0001), (0.25, 0.75), (0.02, 0.06, 0.22, 0.70), (0.80, 0.17, 0.025, 0.005), (0.90, 0.08, 0.02), (0.15, 0.85)),
+    "list": ((0.75, 0.15, 0.045, 0.005, 0.05), (0.97, 0.03), (0.30, 0.50, 0.17, 0.03), (0.40, 0.30, 0.25, 0.05), (0.35, 0.63, 0.02), (0.75, 0.25)),
+    "table": ((0.78, 0.08, 0.03, 0.01, 0.10), (0.97, 0.03), (0.35, 0.35, 0.20, 0.10), (0.10, 0.25, 0.35, 0.30), (0.13, 0.02, 0.85), (0.70, 0.30)),
+    "junk": ((0.36, 0.15, 0.03, 0.16, 0.30), (0.85, 0.15), (0.25, 0.25, 0.20, 0.30), (0.25, 0.15, 0.25, 0.35), (0.70, 0.05, 0.25), (0.75, 0.25)),
 }
 _STAY = 0.85
 
@@ -55,6 +55,8 @@ _LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)")
 _LATEX = re.compile(r"\\(?:cite|label)\{[^{}]*\}|\\[a-zA-Z]+\*?(?=\{)|\\(?:begin|end)\{[^{}]*\}|[{}]")
 _ATX = re.compile(r"(?m)^ {0,3}#{1,6}\s.*$|^=+[^=\n]+=+\s*$|^\\(?:sub)*section\*?\{.*$|^[^\n]*\n(?:={3,}|-{3,})[ \t]*$")
 _TABLE_ENV = re.compile(r"(?ms)^\{\|.*?^\|\}|\\begin\{tabular\}.*?\\end\{tabular\}")
+_WIKI_ASIDE = re.compile(r"^\{\{[^{}]*\}\}|\[\[(?:Category|File|Image|Kategorie|Datei|Catégorie|Fichier|Categoría|Archivo):[^\]]*\]\]", re.M)
+_WIKI_LINK = re.compile(r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n")
 
 
@@ -118,7 +120,7 @@ def line_statistics(line: str, common: frozenset[str]) -> tuple[int, ...]:
     shape = 2 if "|" in body and cells >= 2 or (cells >= 2 and cells * 3.4 >= n) or ("=" in body and n <= 6) else 1 if marker or _BULLET_LINK.match(body.strip()) else 0
     first = next((c for c in body if c.isalnum()), "")
     return (
-        0 if shared == 0 else 1 if shared <= 0.10 else 2 if shared <= 0.8 or n < 8 else 3,
+        (0 if n < 8 else 4) if shared <= 0.05 else 1 if shared <= 0.10 else 2 if shared <= 0.8 or n < 8 else 3,
         ends,
         0 if n <= 2 else 1 if n <= 4 else 2 if n <= 9 else 3,
         0 if symbols < 0.08 else 1 if symbols < 0.2 else 2 if symbols < 0.4 else 3,
@@ -131,6 +133,7 @@ def text_lines(text: str) -> list[str]:
     """Lines that can be prose: markup that is no text removed, headings left out unless nothing else is left."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = _COMMENT.sub("", _FRONT.sub("", text))
+    text = _WIKI_LINK.sub(r"\1", _WIKI_ASIDE.sub("", text))
     bare = _TABLE_ENV.sub("\n", _ATX.sub("\n", _FENCE.sub("\n", text)))
     for source in (bare, text):
         if "<" in source:
