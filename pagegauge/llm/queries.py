@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegauge.llm import mainbody, markup, quality, repetition, residue, wrappers
+from pagegauge.llm import confusables, mainbody, markup, mixing, quality, repetition, residue, tokenise, wrappers
 from pagegauge.sources.tables import read_table
 
 
@@ -181,11 +181,58 @@ def p5_visible_text(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.rendered_pages(read_table(spark, folder, "fetches", "fetch_id", "html"), "fetch_id", False).distinct()
 
 
+# 7. encoding
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of each document; empty for empty and NULL texts."""
+    return tokenise.token_ids(read_table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, tokens and characters of each source."""
+    docs = read_table(spark, folder, "documents", "doc_id", "source", "n_chars", "text")
+    counted = tokenise.token_counts(docs, ["doc_id", "source", "n_chars"])
+    return counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_chars").cast("bigint")).alias("n_chars"))
+
+
+# 8. mixing
+
+
+def p8_method(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of all documents by soft membership: posteriors of a classifier and projected gradients."""
+    return mixing.soft_rates(read_table(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix with their numbers of copies, by the sources as labelled."""
+    return mixing.hard_mix(read_table(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return mixing.hard_mix(read_table(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[1]
+
+
+# 9. look-alikes
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents with different texts that look the same."""
+    return confusables.look_alike_pairs(read_table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of each document."""
+    return confusables.consistent_forms(read_table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_method, p1_found, p1_clean_text, p2_found, p2_labels, p3_found, p3_label_shares, p3_statistics,
         p4_method, p4_found, p4_shares, p5_found, p5_main_text, p5_visible_text,
+        p7_ids, p7_token_counts, p8_method, p8_mix, p8_shares, p9_found, p9_forms,
     )
 }
 ORACLE_SQL = {"p3_statistics": _P3_STATISTICS}
