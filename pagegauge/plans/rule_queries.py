@@ -48,7 +48,7 @@ b AS (SELECT fixture_id, unnest(blocks) AS j FROM d),
 v AS (SELECT fixture_id, json_valid(j) AS ok, CASE WHEN json_valid(j) THEN j ELSE 'null' END AS body FROM b),
 g AS (SELECT fixture_id, ok, CASE WHEN json_exists(body, '$."@graph"') THEN json_extract(body, '$."@graph"[*]') ELSE [json_extract(body, '$')] END AS parts FROM v),
 n0 AS (SELECT fixture_id, ok, unnest(parts) AS node FROM g),
-n AS (SELECT fixture_id, ok, json_extract_string(node, '$."@context"') IS NOT NULL AS ctx, json_extract_string(node, '$."@type"') AS typ,
+n AS (SELECT fixture_id, ok AND json_type(node) = 'OBJECT' AS ok, json_extract_string(node, '$."@context"') IS NOT NULL AS ctx, json_extract_string(node, '$."@type"') AS typ,
   json_exists(node, '$.author') AS author, json_exists(node, '$.datePublished') AS published FROM n0),
 f AS (SELECT fixture_id, count_if(NOT ok) AS errors, count_if(ok) AS nodes, count_if(NOT ok OR NOT ctx OR typ IS NULL) AS diagnostics,
   sum(CASE WHEN ok THEN 12 - {_flag("NOT ctx")} * 6 - {_flag("typ IS NULL")} * 6 END) AS points,
