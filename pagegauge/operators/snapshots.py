@@ -50,7 +50,22 @@ def snapshot_changes(
     values: tuple[str, ...] = ("severity", "observed", "occurrences"),
     version: str = "delivered_at",
 ) -> DataFrame:
-    """Rows (group, snapshot, *key, change_kind) for every pair of consecutive snapshots.
+    """Rows (group, snapshot, *key, change_kind) that were added, removed or changed."""
+    found = snapshot_statuses(records, calendar, group=group, snapshot=snapshot, key=key, values=values, version=version)
+    return found.where(F.col("change_kind") != "persisting")
+
+
+def snapshot_statuses(
+    records: DataFrame,
+    calendar: DataFrame,
+    *,
+    group: str = "site_id",
+    snapshot: str = "snapshot_no",
+    key: dict[str, Column] | None = None,
+    values: tuple[str, ...] = ("severity", "observed", "occurrences"),
+    version: str = "delivered_at",
+) -> DataFrame:
+    """Rows (group, snapshot, *key, change_kind) for every pair of consecutive snapshots, unchanged ones as persisting.
 
     ``records`` holds the snapshots' rows, ``calendar`` one row for each snapshot of a group.
     The join key is (group, snapshot, *key): a hot group spreads over all partitions, because its
@@ -96,11 +111,11 @@ def snapshot_changes(
         F.when(F.col("_bh").isNull(), "added")
         .when(F.col("_ah").isNull(), "removed")
         .when(F.col("_ah") != F.col("_bh"), "changed")
+        .otherwise("persisting")
     )
     return (
         before.join(after, condition, "full_outer")
         .withColumn("change_kind", kind)
-        .where(F.col("change_kind").isNotNull())
         .select(
             F.when(F.col("_ah").isNull(), F.col("_bg")).otherwise(F.col("_ag")).alias(group),
             F.when(F.col("_ah").isNull(), F.col("_bs")).otherwise(F.col("_as")).alias(snapshot),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegauge.plans import rule_queries, site_queries, snapshot_queries
+from pagegauge.plans import report_queries, rule_queries, site_queries, snapshot_queries
 
-_MODULES = (rule_queries, site_queries, snapshot_queries)
+_MODULES = (rule_queries, site_queries, snapshot_queries, report_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for module in _MODULES for name, query in module.QUERIES.items()

@@ -23,7 +23,7 @@ def p6_change_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 _TRIM = "regexp_replace(target, '^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+$', '', 'g')"
 
-_CHANGES = f"""
+FINDING_ROWS = f"""
 WITH trimmed AS (SELECT *, {_TRIM} AS t FROM site_findings),
 parts AS (SELECT *, regexp_extract(t, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS a FROM trimmed),
 named AS (SELECT site_id, snapshot_no, kind, severity, observed, occurrences, delivered_at,
@@ -58,8 +58,8 @@ changes AS (
 
 QUERIES = {"p6_found": p6_found, "p6_change_counts": p6_change_counts}
 ORACLE_SQL = {
-    "p6_found": _CHANGES + "SELECT site_id, snapshot_no, kind, target, change_kind FROM changes",
-    "p6_change_counts": _CHANGES
+    "p6_found": FINDING_ROWS + "SELECT site_id, snapshot_no, kind, target, change_kind FROM changes",
+    "p6_change_counts": FINDING_ROWS
     + "SELECT site_id, snapshot_no, count(*) FILTER (change_kind = 'added') AS n_added, "
     "count(*) FILTER (change_kind = 'removed') AS n_removed, count(*) FILTER (change_kind = 'changed') AS n_changed "
     "FROM changes GROUP BY ALL",
