@@ -141,8 +141,8 @@ FROM p"""
 def p4_method(spark: SparkSession, folder: str) -> DataFrame:
     """Perplexity of each field under a Kneser-Ney model of its language, and whether its band rejects it."""
     docs = read_table(spark, folder, "fixture_docs", "fixture_id", "html", "markdown")
-    texts = repetition.field_texts(docs, read_table(spark, folder, "common_words"))
-    scored = repetition.perplexities(texts, repetition.fit_kneser_ney(texts))
+    common = repetition.common_by_language(read_table(spark, folder, "common_words"))
+    scored = repetition.perplexities(docs, common, repetition.fit_kneser_ney(docs, common))
     return repetition.perplexity_bands(scored).distinct()
 
 
