@@ -45,13 +45,13 @@ def crawl_order(pages: DataFrame, edges: DataFrame, most: int | None = None) ->
     """
     most = check_page_limit(most)
     known = pages.select("origin", F.col("final").alias("url")).where(F.col("url").isNotNull()).distinct()
-    links = cut_lineage(edges.where("internal").select("origin", "src", "dst").distinct())
+    links = cut_lineage(edges.where("internal").select(F.col("origin").alias("_o"), F.col("src").alias("_src"), "dst").distinct())
     starts = known.groupBy("origin").agg(F.min("url").alias("url"))
     seen = starts.select("origin", "url", F.lit(1).alias("place"))
     frontier = seen
     for _ in range(most):
-        following = frontier.join(links, (frontier["url"] == links["src"]) & (frontier["origin"] == links["origin"])).select(
-            frontier["origin"], F.col("dst").alias("url"), frontier["place"].alias("_from")
+        following = frontier.join(links, (F.col("url") == F.col("_src")) & (F.col("origin") == F.col("_o"))).select(
+            "origin", F.col("dst").alias("url"), F.col("place").alias("_from")
         )
         fresh = following.groupBy("origin", "url").agg(F.min("_from").alias("_from")).join(known, ["origin", "url"], "left_semi").join(seen.select("origin", "url"), ["origin", "url"], "left_anti")
         base = seen.groupBy("origin").agg(F.max("place").alias("_base"))
