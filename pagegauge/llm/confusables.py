@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagegauge.session import cut_lineage
+
 #: fixed values: look-alike letters of each letter
 LOOK_ALIKES = {
     # Latin letter: look-alikes in other scripts and letter-like forms
@@ -162,7 +164,8 @@ def look_alike_pairs(docs: DataFrame) -> DataFrame:
                 forms.append(h if form is t or form == t else digest(form))
             yield pd.DataFrame({"doc_id": part["doc_id"], "form": forms, "own": texts})
 
-    hashed = (
+    # written once: 40 bytes a document, read for the forms of interest and for their members
+    hashed = cut_lineage(
         docs.select("doc_id", "text")
         .where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .mapInPandas(run, "doc_id bigint, form binary, own binary")
