@@ -114,3 +114,24 @@ def status_counts(checked: DataFrame, columns: list[str], *by: str) -> DataFrame
     long = checked.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("check_id"), F.col(c).alias("s")) for c in columns])).alias("x"))
     counts = [F.count_if(F.col("x.s") == s).alias("n_" + s.lower().replace("/", "")) for s in STATUSES]
     return long.groupBy(*by, F.col("x.check_id").alias("check_id")).agg(*counts)
+
+
+def build_duplicates(checked: DataFrame) -> DataFrame:
+    """(check_id, value, n_files): titles and canonicals that several built files share, unless all are translations of each other.
+
+    ``checked`` is the result of ``build_checks`` with the files' addresses in ``final``.  Files are
+    reduced to distinct (value, address); the pairs that list each other as translation are counted
+    from the alternates, so no pairs of a group are built.
+    """
+    d = F.col("doc")
+    title = F.when(F.col("b_document_title") == "PASS", F.lower(trim(F.get(d["titles"], F.lit(0)))))
+    canonical = F.when(F.col("b_canonical").isin("PASS", "WARNING") & (F.size(d["canonicals"]) == 1), without_fragment(resolved_url(F.get(d["canonicals"], F.lit(0)), F.col("final"))))
+    values = F.array(F.struct(F.lit("duplicate-title").alias("check_id"), title.alias("value")), F.struct(F.lit("duplicate-canonical").alias("check_id"), canonical.alias("value")))
+    rows = checked.select("final", F.lower(d["language"]).alias("lang"), d["alternates"].alias("alternates"), F.explode(values).alias("v")).select("final", "lang", "alternates", "v.*").where("value IS NOT NULL")
+    groups = rows.groupBy("check_id", "value").agg(F.countDistinct("final").alias("n_files")).where("n_files > 1")
+    titled = rows.where("check_id = 'duplicate-title'")
+    listed = titled.select("value", "final", "lang", F.explode("alternates").alias("a")).select("value", "final", "lang", resolved_url(F.col("a.href"), F.col("final")).alias("other"), F.col("a.lang").alias("other_lang")).distinct()
+    back = listed.select("value", F.col("final").alias("other"), F.col("lang").alias("other_lang"), F.col("other").alias("final"), F.col("other_lang").alias("lang"))
+    mutual = listed.join(back, ["value", "final", "lang", "other", "other_lang"], "left_semi").where((F.col("final") < F.col("other")) & (F.col("lang") != F.col("other_lang")))
+    pairs = mutual.groupBy("value").agg(F.countDistinct("final", "other").alias("mutual")).withColumn("check_id", F.lit("duplicate-title"))
+    return groups.join(pairs, ["check_id", "value"], "left").where(F.coalesce("mutual", F.lit(0)) < F.col("n_files") * (F.col("n_files") - 1) / 2).select("check_id", "value", "n_files")

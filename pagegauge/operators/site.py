@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagegauge.functions.urls import is_mail_protection, origin, resolved_url
 from pagegauge.operators.audit import blocks_indexing
+from pagegauge.session import cut_lineage
 
 #: kinds of findings (fixed values)
 KINDS = (
@@ -131,9 +132,14 @@ def orphan_candidates(edges: DataFrame, listed: DataFrame, starts: DataFrame) ->
     return candidates.join(starts.select("url"), "url", "left_anti").join(linked, "url", "left_anti")
 
 
+def relations(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(page lookup, distinct link edges), written once because several findings read them."""
+    return cut_lineage(page_lookup(pages)), cut_lineage(link_edges(pages).distinct())
+
+
 def site_findings(pages: DataFrame, listed: DataFrame, starts: DataFrame) -> DataFrame:
     """(origin, kind, target): the ten kinds of findings of every site."""
-    lookup, edges = page_lookup(pages), link_edges(pages)
+    lookup, edges = relations(pages)
     kind = lambda df, name, target: df.select("origin", F.lit(name).alias("kind"), F.col(target).alias("target"))
     parts = [
         kind(pages.where(F.col("status") >= 400), "http-error", "url"),
@@ -167,3 +173,41 @@ def page_metrics(pages: DataFrame) -> DataFrame:
 
 def metrics_from_findings(findings: DataFrame) -> DataFrame:
     return findings.groupBy("origin", "kind").agg(F.count(F.lit(1)).alias("n_findings"))
+
+
+def site_metrics(pages: DataFrame, listed: DataFrame, starts: DataFrame) -> DataFrame:
+    """(origin, metric_id, value): counts of pages, targets and findings of every site; NULL is not measured.
+
+    Canonical counts need an HTML page, sitemap counts a sitemap.
+    """
+    lookup, edges = relations(pages)
+    count = lambda df, name: df.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).select("origin", F.lit(name).alias("metric_id"), "n")
+    canonical = cut_lineage(canonical_findings(pages, lookup))
+    of_kind = lambda kind, name: count(canonical.where(F.col("kind") == kind), name)
+    parts = [
+        count(targets(edges), "internal-targets"),
+        count(broken_targets(edges, lookup), "broken-targets"),
+        count(unchecked_targets(edges, lookup), "unchecked-targets"),
+        of_kind("missing-canonical", "missing-canonicals"),
+        of_kind("malformed-canonical", "malformed-canonicals"),
+        of_kind("non-self-canonical", "nonself-canonicals"),
+        of_kind("shared-canonical", "shared-canonicals"),
+        count(listed.select("origin", "url").distinct(), "sitemap-urls"),
+        count(sitemap_omissions(pages, lookup, listed), "sitemap-omissions"),
+        count(orphan_candidates(edges, listed, starts), "orphan-candidates"),
+        count(duplicate_titles(pages, lookup), "duplicate-titles"),
+    ]
+    names = ["internal-targets", "broken-targets", "unchecked-targets", "missing-canonicals", "malformed-canonicals", "nonself-canonicals",
+             "shared-canonicals", "sitemap-urls", "sitemap-omissions", "orphan-candidates", "duplicate-titles"]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    origins = pages.groupBy("origin").agg(F.count_if(F.col("doc").isNotNull()).alias("html")).join(listed.select("origin").distinct().withColumn("mapped", F.lit(True)), "origin", "left")
+    grid = origins.withColumn("metric_id", F.explode(F.array(*[F.lit(n) for n in names])))
+    measured = (
+        F.when(F.col("metric_id").endswith("canonicals"), F.col("html") > 0)
+        .when(F.col("metric_id").isin("sitemap-omissions", "orphan-candidates", "sitemap-urls"), F.coalesce("mapped", F.lit(False)))
+        .otherwise(True)
+    )
+    filled = grid.join(found, ["origin", "metric_id"], "left").select("origin", "metric_id", F.when(measured, F.coalesce("n", F.lit(0))).alias("value"))
+    return page_metrics(pages).unionByName(filled)

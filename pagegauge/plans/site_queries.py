@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagegauge.functions import text as tx
 from pagegauge.functions import urls
+from pagegauge.functions.reviews import parsed_review
 from pagegauge.operators import audit, crawl, robots, site, sitemap
 from pagegauge.operators.pages import TAGGED_HTML, distinct_fetches, parsed_pages
 from pagegauge.session import cut_lineage
@@ -124,6 +125,26 @@ def page_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return site.page_metrics(pages(spark, folder))
 
 
+def site_metrics_derived(spark: SparkSession, folder: str) -> DataFrame:
+    return site.site_metrics(pages_once(spark, folder), _listed(spark, folder), _starts(spark, folder))
+
+
+def build_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.build_duplicates(audit.build_checks(pages(spark, folder), base="final"))
+
+
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores read out of review texts that are built from the sites' ids."""
+    sites = read_table(spark, folder, "sites", "site_id", "brand")
+    return sites.select("site_id", parsed_review(F.expr(_REVIEW)).alias("r")).select("site_id", "r.available", "r.score", "r.structure", "r.schema", "r.insight")
+
+
+_REVIEW = (
+    "CASE site_id % 4 WHEN 0 THEN 'no answer' WHEN 1 THEN concat('Sure: {\"score\": ', site_id, '.5, \"dimensions\": {\"structure\": ', site_id % 40, ', \"schema\": -3}, \"insight\": \"{', brand, '}\"} done') "
+    "WHEN 2 THEN concat('{\"x\": {\"score\": ', site_id % 101, ', \"structure\": 9, \"schema\": 7}}') ELSE '{\"score\": 12' END"
+)
+
+
 def url_gate(spark: SparkSession, folder: str) -> DataFrame:
     u = F.col("requested_url")
     rows = read_table(spark, folder, "fetches", "requested_url").distinct()
@@ -262,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_facts, audit_checks, audit_summary, build_checks, link_edges, link_counts, internal_targets, broken_targets, unchecked_targets,
-        verified_canonicals, canonical_findings, duplicate_titles, sitemap_omissions, orphan_candidates, site_findings_derived, page_metrics,
+        verified_canonicals, canonical_findings, duplicate_titles, sitemap_omissions, orphan_candidates, site_findings_derived, page_metrics, site_metrics_derived, build_duplicates, reviews,
         url_gate, page_texts, redirect_hops, robots_rules, robots_decisions, sitemap_entries, crawl_order,
     )
 }
@@ -295,6 +316,24 @@ ORACLE_SQL = {
   UNION SELECT origin, 'duplicate-title', title FROM dt""",
     "page_metrics": _PAGES + """SELECT origin, unnest(['crawled-pages', 'successful-pages', 'failed-pages', 'unavailable-pages', 'redirected-pages', 'long-redirects']) AS metric_id,
   unnest([count(*), count_if(status BETWEEN 200 AND 299), count_if(status >= 400), count_if(status = 0), count_if(len(redirects) > 0), count_if(len(redirects) > 1)]) AS value FROM p GROUP BY origin""",
+    "site_metrics_derived": _PAGES + """, pm AS (SELECT origin, unnest(['crawled-pages', 'successful-pages', 'failed-pages', 'unavailable-pages', 'redirected-pages', 'long-redirects']) AS metric_id,
+  unnest([count(*), count_if(status BETWEEN 200 AND 299), count_if(status >= 400), count_if(status = 0), count_if(len(redirects) > 0), count_if(len(redirects) > 1)]) AS value FROM p GROUP BY origin),
+fm AS (SELECT origin, 'internal-targets' AS metric_id, count(*) AS n FROM tg GROUP BY ALL
+  UNION ALL SELECT origin, 'broken-targets', count(*) FROM tg WHERE url IN (SELECT address FROM lk WHERE status >= 400) GROUP BY ALL
+  UNION ALL SELECT origin, 'unchecked-targets', count(*) FROM tg WHERE url NOT IN (SELECT address FROM lk WHERE status <> 0) GROUP BY ALL
+  UNION ALL SELECT origin, CASE kind WHEN 'missing-canonical' THEN 'missing-canonicals' WHEN 'malformed-canonical' THEN 'malformed-canonicals' WHEN 'non-self-canonical' THEN 'nonself-canonicals' ELSE 'shared-canonicals' END, count(*) FROM cf GROUP BY ALL
+  UNION ALL SELECT origin, 'sitemap-urls', count(*) FROM listed GROUP BY ALL UNION ALL SELECT origin, 'sitemap-omissions', count(*) FROM so GROUP BY ALL
+  UNION ALL SELECT origin, 'orphan-candidates', count(*) FROM oc GROUP BY ALL UNION ALL SELECT origin, 'duplicate-titles', count(*) FROM dt GROUP BY ALL),
+gr AS (SELECT origin, count_if(readable) AS html, origin IN (SELECT origin FROM listed) AS mapped, unnest(['internal-targets', 'broken-targets', 'unchecked-targets', 'missing-canonicals', 'malformed-canonicals',
+  'nonself-canonicals', 'shared-canonicals', 'sitemap-urls', 'sitemap-omissions', 'orphan-candidates', 'duplicate-titles']) AS metric_id FROM p GROUP BY origin)
+SELECT * FROM pm UNION ALL SELECT origin, metric_id, CASE WHEN metric_id LIKE '%canonicals' AND html = 0 THEN NULL
+  WHEN metric_id IN ('sitemap-omissions', 'orphan-candidates', 'sitemap-urls') AND NOT mapped THEN NULL ELSE coalesce(n, 0) END AS value FROM gr LEFT JOIN fm USING (origin, metric_id)""",
+    "build_duplicates": _PAGES + """, bt AS (SELECT 'duplicate-title' AS check_id, title AS value, final FROM ti WHERE title <> ''
+  UNION ALL SELECT 'duplicate-canonical', resolved, final FROM cr WHERE n = 1 AND resolved IS NOT NULL)
+SELECT check_id, value, count(DISTINCT final) AS n_files FROM bt GROUP BY ALL HAVING n_files > 1""",
+    "reviews": """SELECT site_id, site_id % 4 IN (1, 2) AS available, CASE site_id % 4 WHEN 1 THEN least(100, site_id + 1) WHEN 2 THEN least(100, site_id % 101) END AS score,
+  CASE site_id % 4 WHEN 1 THEN least(25, site_id % 40) WHEN 2 THEN 9 END AS structure, CASE site_id % 4 WHEN 1 THEN 0 WHEN 2 THEN 7 END AS schema,
+  CASE WHEN site_id % 4 = 1 THEN '{' || brand || '}' END AS insight FROM sites""",
     "url_gate": """SELECT DISTINCT requested_url, requested_url AS url, regexp_matches(requested_url, '(?i)^https?://') AS is_web, false AS is_blocked, false AS is_mail,
   regexp_replace(regexp_replace(requested_url, '^https?://[^/?#]+', ''), '#.*$', '') AS path, regexp_extract(requested_url, '^https?://[^/?#]+') AS origin FROM fetches""",
     "page_texts": f"""WITH p AS (SELECT DISTINCT ON (fetch_id) fetch_id, html FROM fetches WHERE length(html) > 0 ORDER BY fetch_id, coalesce(loaded_at, fetched_at) DESC),
