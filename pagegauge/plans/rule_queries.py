@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from pagegauge.functions import text as tx
 from pagegauge.operators import rules
-from pagegauge.sources.tables import read_table
+from pagegauge.sources.tables import read_spread
 
 _COLUMNS = ("fixture_id", "html", "markdown", "headings", "paragraphs", "json_ld", "meta_tags", "links", "raw_text")
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "fixture_docs", *_COLUMNS)
+    docs = read_spread(spark, folder, "fixture_docs", *_COLUMNS)
     # repeated rows count once: the first of an id, chosen by a hash of the row (maps cannot be compared)
     text = F.to_json(F.struct(*[c for c in _COLUMNS]))
     first = docs.withColumn("_h", F.xxhash64(text)).dropDuplicates(["fixture_id", "_h"]).drop("_h")
@@ -186,7 +186,7 @@ def lowest_rule(spark: SparkSession, folder: str) -> DataFrame:
 
 def top_words(spark: SparkSession, folder: str) -> DataFrame:
     """The three most frequent content words of each document; equal counts: first to occur."""
-    docs = read_table(spark, folder, "documents", "doc_id", "text").where(F.col("text").isNotNull())
+    docs = read_spread(spark, folder, "documents", "doc_id", "text").where(F.col("text").isNotNull())
     words = F.filter(F.split(F.lower("text"), f"{tx.WS}+"), lambda w: (F.length(w) > 1) & ~w.isin(rules.STOP_WORDS))
     counted = docs.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     ranked = counted.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "word", "n"))), 1, 3).alias("t"))
@@ -194,7 +194,7 @@ def top_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_word_stats(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents", "doc_id", "text").where(F.col("text").isNotNull())
+    docs = read_spread(spark, folder, "documents", "doc_id", "text").where(F.col("text").isNotNull())
     t = F.col("text")
     return docs.select(
         "doc_id", tx.raw_word_count(t).cast("bigint").alias("raw_words"), tx.word_count(t).cast("bigint").alias("words"),

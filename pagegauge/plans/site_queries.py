@@ -18,13 +18,13 @@ from pagegauge.functions.reviews import parsed_review
 from pagegauge.operators import audit, crawl, robots, site, sitemap
 from pagegauge.operators.pages import TAGGED_HTML, distinct_fetches, parsed_pages
 from pagegauge.session import cut_lineage
-from pagegauge.sources.tables import read_table
+from pagegauge.sources.tables import read_spread, read_table
 
 _COLUMNS = ("fetch_id", "site_id", "requested_url", "final_url", "status", "redirects", "content_type", "x_robots_tag", "html", "fetched_at", "loaded_at")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return parsed_pages(distinct_fetches(read_table(spark, folder, "fetches", *_COLUMNS)), F.expr(TAGGED_HTML))
+    return parsed_pages(distinct_fetches(read_spread(spark, folder, "fetches", *_COLUMNS)), F.expr(TAGGED_HTML))
 
 
 _DOC = ("document_title", "language", "links", "canonicals", "alternates", "meta_values")
