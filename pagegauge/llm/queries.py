@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegauge.llm import confusables, mainbody, markup, mixing, quality, repetition, residue, tokenise, wrappers
-from pagegauge.sources.tables import read_table
+from pagegauge.sources.tables import read_spread, read_table
 
 
 def _line_model(spark: SparkSession, folder: str) -> quality.LineModel:
@@ -21,7 +21,7 @@ def _line_model(spark: SparkSession, folder: str) -> quality.LineModel:
 
 def p1_method(spark: SparkSession, folder: str) -> DataFrame:
     """A wrapper for each host, inferred from the token streams of its pages."""
-    return wrappers.infer_wrappers(read_table(spark, folder, "fixture_docs", "url", "html"))
+    return wrappers.infer_wrappers(read_spread(spark, folder, "fixture_docs", "url", "html"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
                     rows.update((fixture_id, "headings", "heading", text) for text in map(markup.heading_text, headings) if text)
             yield pd.DataFrame(list(rows), columns=["fixture_id", "field_name", "element_kind", "content_text"])
 
-    docs = read_table(spark, folder, "fixture_docs", "fixture_id", "html", "markdown", "headings")
+    docs = read_spread(spark, folder, "fixture_docs", "fixture_id", "html", "markdown", "headings")
     return (
         docs.where(F.col("fixture_id").isNotNull())
         .withColumn("headings", F.transform("headings", lambda h: h["text"]))
@@ -59,7 +59,7 @@ def p1_clean_text(spark: SparkSession, folder: str) -> DataFrame:
                 "markdown_text": [markup.clean_text(m, False) for m in part["markdown"]],
             })
 
-    docs = read_table(spark, folder, "fixture_docs", "fixture_id", "html", "markdown")
+    docs = read_spread(spark, folder, "fixture_docs", "fixture_id", "html", "markdown")
     return docs.mapInPandas(clean, "fixture_id bigint, html_text string, markdown_text string").distinct()
 
 
@@ -68,12 +68,12 @@ def p1_clean_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Fetches whose main body is residue."""
-    return residue.residue_pages(read_table(spark, folder, "fetches", "fetch_id", "html")).select("fetch_id").distinct()
+    return residue.residue_pages(read_spread(spark, folder, "fetches", "fetch_id", "html")).select("fetch_id").distinct()
 
 
 def p2_labels(spark: SparkSession, folder: str) -> DataFrame:
     """How many fetches are residue, by label."""
-    found = residue.residue_pages(read_table(spark, folder, "fetches", "fetch_id", "html"))
+    found = residue.residue_pages(read_spread(spark, folder, "fetches", "fetch_id", "html"))
     return found.groupBy("label").agg(F.countDistinct("fetch_id").alias("n_fetches"))
 
 
@@ -81,8 +81,8 @@ def p2_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "fixture_docs", "fixture_id", "markdown")
-    issues = read_table(spark, folder, "issues", "issue_id", "message")
+    docs = read_spread(spark, folder, "fixture_docs", "fixture_id", "markdown")
+    issues = read_spread(spark, folder, "issues", "issue_id", "message")
     return docs.select(F.lit("fixture_docs").alias("src_table"), F.col("fixture_id").alias("row_id"), F.col("markdown").alias("text")).unionByName(
         issues.select(F.lit("issues").alias("src_table"), F.col("issue_id").alias("row_id"), F.col("message").alias("text"))
     )
@@ -140,14 +140,14 @@ FROM p"""
 
 def p4_method(spark: SparkSession, folder: str) -> DataFrame:
     """Perplexity of each field under a Kneser-Ney model of its language, and whether its band rejects it."""
-    docs = read_table(spark, folder, "fixture_docs", "fixture_id", "html", "markdown")
+    docs = read_spread(spark, folder, "fixture_docs", "fixture_id", "html", "markdown")
     common = repetition.common_by_language(read_table(spark, folder, "common_words"))
     scored = repetition.perplexities(docs, common, repetition.fit_kneser_ney(docs, common))
     return repetition.perplexity_bands(scored).distinct()
 
 
 def _shares(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.repetition_shares(read_table(spark, folder, "fixture_docs", "fixture_id", "html", "markdown"), _line_model(spark, folder))
+    return repetition.repetition_shares(read_spread(spark, folder, "fixture_docs", "fixture_id", "html", "markdown"), _line_model(spark, folder))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,20 +165,20 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Leads of the text blocks in the main body of each whole page."""
-    fetches = read_table(spark, folder, "fetches", "fetch_id", "html")
-    docs = read_table(spark, folder, "fixture_docs", "fixture_id", "html")
+    fetches = read_spread(spark, folder, "fetches", "fetch_id", "html")
+    docs = read_spread(spark, folder, "fixture_docs", "fixture_id", "html")
     found = mainbody.page_blocks(fetches, "fetches", "fetch_id", residue.fitted_index(fetches))
     return found.unionByName(mainbody.page_blocks(docs, "fixture_docs", "fixture_id", None))
 
 
 def p5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main body of each fetch as text."""
-    return mainbody.rendered_pages(read_table(spark, folder, "fetches", "fetch_id", "html"), "fetch_id", True).distinct()
+    return mainbody.rendered_pages(read_spread(spark, folder, "fetches", "fetch_id", "html"), "fetch_id", True).distinct()
 
 
 def p5_visible_text(spark: SparkSession, folder: str) -> DataFrame:
     """All visible text of each fetch: block spacing, lists and aligned cells kept."""
-    return mainbody.rendered_pages(read_table(spark, folder, "fetches", "fetch_id", "html"), "fetch_id", False).distinct()
+    return mainbody.rendered_pages(read_spread(spark, folder, "fetches", "fetch_id", "html"), "fetch_id", False).distinct()
 
 
 # 7. encoding
@@ -186,12 +186,12 @@ def p5_visible_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document; empty for empty and NULL texts."""
-    return tokenise.token_ids(read_table(spark, folder, "documents", "doc_id", "text"))
+    return tokenise.token_ids(read_spread(spark, folder, "documents", "doc_id", "text"))
 
 
 def p7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, tokens and characters of each source."""
-    docs = read_table(spark, folder, "documents", "doc_id", "source", "n_chars", "text")
+    docs = read_spread(spark, folder, "documents", "doc_id", "source", "n_chars", "text")
     counted = tokenise.token_counts(docs, ["doc_id", "source", "n_chars"])
     return counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_chars").cast("bigint")).alias("n_chars"))
 
@@ -201,17 +201,17 @@ def p7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_method(spark: SparkSession, folder: str) -> DataFrame:
     """Rates of all documents by soft membership: posteriors of a classifier and projected gradients."""
-    return mixing.soft_rates(read_table(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))
+    return mixing.soft_rates(read_spread(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of the mix with their numbers of copies, by the sources as labelled."""
-    return mixing.hard_mix(read_table(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[0]
+    return mixing.hard_mix(read_spread(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source in the mix."""
-    return mixing.hard_mix(read_table(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[1]
+    return mixing.hard_mix(read_spread(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[1]
 
 
 # 9. look-alikes
@@ -219,12 +219,12 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents with different texts that look the same."""
-    return confusables.look_alike_pairs(read_table(spark, folder, "documents", "doc_id", "text"))
+    return confusables.look_alike_pairs(read_spread(spark, folder, "documents", "doc_id", "text"))
 
 
 def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of each document."""
-    return confusables.consistent_forms(read_table(spark, folder, "documents", "doc_id", "text"))
+    return confusables.consistent_forms(read_spread(spark, folder, "documents", "doc_id", "text"))
 
 
 QUERIES = {
