@@ -12,11 +12,15 @@ from pagegauge.functions.urls import normal_url, origin
 MAX_BYTES = 5 * 1024 * 1024
 
 
-def distinct_fetches(fetches: DataFrame) -> DataFrame:
-    """One row for each fetch: the one loaded last; only ids and times are shuffled before the pages are."""
-    keep = fetches.groupBy("fetch_id").agg(F.max(F.coalesce("loaded_at", "fetched_at")).alias("_last"))
-    joined = fetches.join(keep, "fetch_id").where(F.coalesce("loaded_at", "fetched_at").eqNullSafe(F.col("_last"))).drop("_last")
-    return joined.dropDuplicates(["fetch_id"])
+def latest(rows: DataFrame, *columns: str) -> DataFrame:
+    """(fetch_id, *columns) of the row of each fetch that was loaded last.
+
+    Pages are parsed, and reduced to what is needed, before repeated rows meet here: HTML itself is
+    never shuffled.
+    """
+    loaded = F.coalesce("loaded_at", "fetched_at", F.timestamp_seconds(F.lit(0)))
+    picked = F.max_by(F.struct(*columns), loaded).alias("_row")
+    return rows.groupBy("fetch_id").agg(picked).select("fetch_id", "_row.*")
 
 
 def is_html(content_type: Column, html: Column) -> Column:

@@ -16,27 +16,32 @@ from pagegauge.functions import text as tx
 from pagegauge.functions import urls
 from pagegauge.functions.reviews import parsed_review
 from pagegauge.operators import audit, crawl, robots, site, sitemap
-from pagegauge.operators.pages import TAGGED_HTML, distinct_fetches, parsed_pages
+from pagegauge.operators.pages import TAGGED_HTML, latest, parsed_pages
 from pagegauge.session import cut_lineage
 from pagegauge.sources.tables import read_spread, read_table
 
 _COLUMNS = ("fetch_id", "site_id", "requested_url", "final_url", "status", "redirects", "content_type", "x_robots_tag", "html", "fetched_at", "loaded_at")
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return parsed_pages(distinct_fetches(read_spread(spark, folder, "fetches", *_COLUMNS)), F.expr(TAGGED_HTML))
+#: what relations need of a parsed page
+_DOC = ("document_title", "language", "links", "canonicals", "alternates", "meta_values")
+_SLIM = ("origin", "url", "final", "status", "redirects", "x_robots_tag", "fetched_at", "doc")
 
 
-_DOC = ("document_title", "language", "links", "canonicals", "alternates", "meta_values")
+def parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the fetches, parsed where they lie."""
+    return parsed_pages(read_spread(spark, folder, "fetches", *_COLUMNS), F.expr(TAGGED_HTML))
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each fetch with the fields that relations need."""
+    slim = F.when(F.col("doc").isNotNull(), F.struct(*[F.col(f"doc.{c}").alias(c) for c in _DOC]))
+    return latest(parsed(spark, folder).withColumn("doc", slim), *_SLIM)
 
 
 def pages_once(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages with the fields that relations need, parsed once and written to the shared folder."""
-    slim = pages(spark, folder).select(
-        "fetch_id", "origin", "url", "final", "status", "redirects", "x_robots_tag", "fetched_at",
-        F.when(F.col("doc").isNotNull(), F.struct(*[F.col(f"doc.{c}").alias(c) for c in _DOC])).alias("doc"),
-    )
-    return cut_lineage(slim)
+    """``pages``, parsed once and written to the shared folder."""
+    return cut_lineage(pages(spark, folder))
 
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,24 +56,25 @@ def _starts(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_facts(spark: SparkSession, folder: str) -> DataFrame:
     d = F.col("doc")
-    p = pages(spark, folder).where(d.isNotNull())
-    return p.select(
-        "fetch_id", d["document_title"].alias("title"), d["language"].alias("lang"), F.size(d["headings"]).cast("bigint").alias("n_headings"),
+    p = parsed(spark, folder).where(d.isNotNull())
+    facts = p.select(
+        "fetch_id", "loaded_at", "fetched_at", d["document_title"].alias("title"), d["language"].alias("lang"), F.size(d["headings"]).cast("bigint").alias("n_headings"),
         F.size(F.filter(d["headings"], lambda h: h["level"] == 1)).cast("bigint").alias("n_h1"), F.size(d["links"]).cast("bigint").alias("n_links"),
         F.size(d["canonicals"]).cast("bigint").alias("n_canonicals"), d["meta"]["description"].alias("description"),
     )
+    return latest(facts, *facts.columns[3:])
 
 
 def audit_checks(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.page_checks(pages(spark, folder)).select("fetch_id", *map(audit.column_name, audit.PAGE_CHECKS))
+    return latest(audit.page_checks(parsed(spark, folder)), *map(audit.column_name, audit.PAGE_CHECKS))
 
 
 def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.status_counts(audit.page_checks(pages(spark, folder)), [audit.column_name(c) for c in audit.PAGE_CHECKS])
+    return audit.status_counts(audit_checks(spark, folder), [audit.column_name(c) for c in audit.PAGE_CHECKS])
 
 
 def build_checks(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.build_checks(pages(spark, folder)).select("fetch_id", *["b_" + audit.column_name(c) for c in audit.BUILD_CHECKS])
+    return latest(audit.build_checks(parsed(spark, folder)), *["b_" + audit.column_name(c) for c in audit.BUILD_CHECKS])
 
 
 def link_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +136,9 @@ def site_metrics_derived(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def build_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.build_duplicates(audit.build_checks(pages(spark, folder), base="final"))
+    checked = audit.build_checks(parsed(spark, folder), base="final")
+    slim = F.struct("doc.titles", "doc.canonicals", "doc.language", "doc.alternates")
+    return audit.build_duplicates(latest(checked.withColumn("doc", slim), "final", "doc", "b_document_title", "b_canonical"))
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,12 +165,13 @@ def url_gate(spark: SparkSession, folder: str) -> DataFrame:
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt excerpt, escaped start, preview and script-page test of each page."""
     h = F.col("html")
-    rows = distinct_fetches(read_table(spark, folder, "fetches", "fetch_id", "html", "fetched_at", "loaded_at")).where(F.length(h) > 0)
-    return rows.select(
-        "fetch_id", F.length(tx.prompt_excerpt(h)).cast("bigint").alias("excerpt_chars"), F.md5(tx.prompt_excerpt(h)).alias("excerpt_md5"),
+    rows = read_spread(spark, folder, "fetches", "fetch_id", "html", "fetched_at", "loaded_at").where(F.length(h) > 0)
+    texts = rows.select(
+        "fetch_id", "loaded_at", "fetched_at", F.length(tx.prompt_excerpt(h)).cast("bigint").alias("excerpt_chars"), F.md5(tx.prompt_excerpt(h)).alias("excerpt_md5"),
         F.md5(tx.escape_html(h)).alias("escaped_md5"), F.md5(F.substring(h, 1, 6000)).alias("preview_md5"), (F.length(h) > 6000).alias("truncated"),
         tx.likely_script_page(h).alias("script_page"),
     )
+    return latest(texts, *texts.columns[3:])
 
 
 def redirect_hops(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagegauge.operators import audit, compare, crawl, ledger, robots, rules, site
-from pagegauge.operators.pages import distinct_fetches, parsed_pages
+from pagegauge.operators.pages import latest, parsed_pages
 from pagegauge.operators.snapshots import canonical_target, change_counts, snapshot_changes
 from pagegauge.streaming.observations import distinct_observations, windowed_counts
 
@@ -191,7 +191,8 @@ def pages(spark):
         page(7, "/r", "", hops=2),
         page(8, "/n2", "", canonical.format("/n")),
     ]
-    return parsed_pages(distinct_fetches(spark.createDataFrame(rows + rows[:1], FETCH))).cache()
+    parsed = parsed_pages(spark.createDataFrame(rows + rows[:1], FETCH))
+    return latest(parsed, *[c for c in parsed.columns if c not in ("fetch_id", "html")]).cache()
 
 
 def test_site_relations(spark, pages):
