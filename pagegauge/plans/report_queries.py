@@ -60,9 +60,8 @@ def unknown_evidence(spark: SparkSession, folder: str) -> DataFrame:
 def fixture_expectations(spark: SparkSession, folder: str) -> DataFrame:
     """Computed against expected score of each fixture document's own rule."""
     expected = read_table(spark, folder, "fixture_docs", "fixture_id", "rule_id", "kind", "expected").select("fixture_id", "rule_id", "kind", F.col("expected.score").alias("want")).distinct()
-    results = rules.evaluated(rq.prepared(spark, folder))
-    scores = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col(f"{rules.rule_column(r)}.score").alias("got")) for r in rules.REGISTRY])
-    long = results.select("fixture_id", F.explode(scores).alias("x")).select("fixture_id", "x.*")
+    scores = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col(rules.rule_column(r)).alias("got")) for r in rules.REGISTRY])
+    long = rq.rule_scores(spark, folder).select("fixture_id", F.explode(scores).alias("x")).select("fixture_id", "x.*")
     return expected.join(long, ["fixture_id", "rule_id"]).groupBy("rule_id", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("got") == F.col("want")).alias("n_equal"), F.sum("got").alias("points")
     )
@@ -94,11 +93,6 @@ def observation_ids(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("seq", ledger.observation_id(ledger.normal_query(F.col("keyword")), F.col("target_path"), F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss"), F.col("position")).alias("observation_id"))
 
 
-def _artefact_docs(spark: SparkSession, folder: str) -> DataFrame:
-    titles = read_table(spark, folder, "fixture_docs", "fixture_id", "title", "url").distinct()
-    return rq.prepared(spark, folder).join(titles, "fixture_id")
-
-
 def llms_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "fixture_docs", "fixture_id", "title", "url").distinct()
     totals = rq.scored(spark, folder).select("fixture_id", "total")
@@ -112,14 +106,14 @@ def llms_full_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def breadcrumb_candidates(spark: SparkSession, folder: str) -> DataFrame:
     docs = rq.prepared(spark, folder).where(~generate.has_type(F.col("facts.nodes"), "BreadcrumbList"))
-    return docs.select("fixture_id", generate.breadcrumb(F.col("links")).alias("json")).where("json IS NOT NULL")
+    return docs.select("fixture_id", generate.breadcrumb(F.col("links")).alias("json")).where("json IS NOT NULL").distinct()
 
 
 def article_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with an article element and enough structure; author and date are given here by their id."""
     meta = F.map_concat(F.col("meta"), F.when(F.col("fixture_id") % 2 == 0, F.create_map(F.lit("author"), F.lit("A"), F.lit("date"), F.lit("2026-01-01"))).otherwise(F.create_map().cast("map<string,string>")))
     docs = rq.prepared(spark, folder).withColumn("given", meta).where(~generate.has_type(F.col("facts.nodes"), *generate.ARTICLE_TYPES))
-    return docs.where(generate.is_article_candidate(F.col("html"), F.col("given"), F.col("headings"), F.col("paragraphs"))).select("fixture_id")
+    return docs.where(generate.is_article_candidate(F.col("html"), F.col("given"), F.col("headings"), F.col("paragraphs"))).select("fixture_id").distinct()
 
 
 def robots_suggestions(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,15 +13,20 @@ _COLUMNS = ("fixture_id", "html", "markdown", "headings", "paragraphs", "json_ld
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_spread(spark, folder, "fixture_docs", *_COLUMNS)
-    # repeated rows count once: the first of an id, chosen by a hash of the row (maps cannot be compared)
-    text = F.to_json(F.struct(*[c for c in _COLUMNS]))
-    first = docs.withColumn("_h", F.xxhash64(text)).dropDuplicates(["fixture_id", "_h"]).drop("_h")
-    return rules.prepare(first)
+    """Documents as the rules read them; repeated rows are removed from the results, which are small."""
+    return rules.prepare(read_spread(spark, folder, "fixture_docs", *_COLUMNS))
+
+
+def rule_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """(fixture_id, one score for each rule)."""
+    results = rules.evaluated(prepared(spark, folder))
+    return results.select("fixture_id", *[F.col(f"{rules.rule_column(r)}.score").alias(rules.rule_column(r)) for r in rules.REGISTRY]).distinct()
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.dimension_scores(rules.evaluated(prepared(spark, folder)))
+    """(fixture_id, dimensions, total)."""
+    results = rules.dimension_scores(rules.evaluated(prepared(spark, folder)))
+    return results.select("fixture_id", *rules.DIMENSIONS, "total").distinct()
 
 
 _W = tx.WS
@@ -142,7 +147,7 @@ RULE_SQL = {
 
 def _rule_query(rule: rules.Rule):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return prepared(spark, folder).withColumn("r", rule.expression()).select("fixture_id", "r.score", "r.issues", "r.suggestions")
+        return prepared(spark, folder).withColumn("r", rule.expression()).select("fixture_id", "r.score", "r.issues", "r.suggestions").distinct()
 
     return query
 
@@ -176,9 +181,8 @@ def score_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 def lowest_rule(spark: SparkSession, folder: str) -> DataFrame:
     """For each rule: how many documents lose points, and the average score."""
-    results = rules.evaluated(prepared(spark, folder))
-    long = results.select(F.explode(F.array(*[
-        F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.dimension).alias("dimension"), F.lit(r.weight).alias("weight"), F.col(f"{rules.rule_column(r)}.score").alias("score"))
+    long = rule_scores(spark, folder).select(F.explode(F.array(*[
+        F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.dimension).alias("dimension"), F.lit(r.weight).alias("weight"), F.col(rules.rule_column(r)).alias("score"))
         for r in rules.REGISTRY
     ])).alias("x")).select("x.*")
     return long.groupBy("rule_id", "dimension", "weight").agg(F.count_if(F.col("score") < F.col("weight")).alias("n_losing"), F.sum("score").alias("points"))
