@@ -142,8 +142,7 @@ def p4_method(spark: SparkSession, folder: str) -> DataFrame:
     """Perplexity of each field under a Kneser-Ney model of its language, and whether its band rejects it."""
     docs = read_spread(spark, folder, "fixture_docs", "fixture_id", "html", "markdown")
     common = repetition.common_by_language(read_table(spark, folder, "common_words"))
-    scored = repetition.perplexities(docs, common, repetition.fit_kneser_ney(docs, common))
-    return repetition.perplexity_bands(scored).distinct()
+    return repetition.perplexity_bands(repetition.corpus_perplexities(docs, common)).distinct()
 
 
 def _shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,11 +4,13 @@
 that stand in a run of five words or more, or in a sentence, that came before in the same field.
 
 ``fit_kneser_ney`` counts all n-grams with Spark and fits a modified Kneser-Ney model for each
-language.  It is held in sorted arrays of 64-bit hashes with their logarithms (``SortedModel``),
-looked up by binary search.  ``perplexity_bands`` scores every document and rejects those outside
-their language's band: broken generation and copies of a phrase have a very low perplexity per
-word, junk a very high one.  N-grams below ``RARE_SHARE`` of all are left to the back-off, which
-bounds the arrays whatever the corpus.
+language.  An n-gram seen once was seen in the text itself only: below ``MIN_COUNT``, which is the
+same for every size of the table, the back-off prices it, and the probability it leaves is given
+back there, so that each context's probabilities sum to 1.  ``corpus_perplexities`` prices the
+n-grams of the table that the model was fitted on by equi-joins and holds no model in memory;
+``SortedModel`` holds a small one in sorted arrays, for other texts.  ``perplexity_bands`` rejects
+the documents outside their language's band: broken generation and copies of a phrase have a very
+low perplexity per word, junk a very high one.
 
 Defined results: NULL and empty fields have no share and are no cases; equal rows count once;
 n-grams do not cross documents.
@@ -103,9 +105,8 @@ def repetition_shares(docs: DataFrame, model: LineModel) -> DataFrame:
 
 ORDER = 3
 _START, _END = "\u0002", "\u0003"
-#: n-grams rarer than this share of all n-grams of their order are left to the back-off, so that a
-#: model never has more than ORDER / RARE_SHARE entries of 16 bytes
-RARE_SHARE = 5e-7
+#: n-grams seen less often are left to the back-off, whatever the size of the corpus
+MIN_COUNT = 2
 BAND = 3.0
 
 
@@ -256,8 +257,13 @@ def count_trigrams(docs: DataFrame, common: dict[str, frozenset[str]]) -> DataFr
     return counted.groupBy("lang", "k3", "c2", "s2", "m1", "l1").agg(F.sum("c").alias("c"))
 
 
-def fit_kneser_ney(docs: DataFrame, common: dict[str, frozenset[str]], rare_share: float = RARE_SHARE, min_count: int = 2) -> SortedModel:
-    """Modified Kneser-Ney of order 3 for each language: three discounts for each order, counted over all documents."""
+def priced_grams(docs: DataFrame, common: dict[str, frozenset[str]], min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, float]]:
+    """Modified Kneser-Ney of order 3 for each language: three discounts for each order, counted over all documents.
+
+    (words, bigrams, trigrams, probability of a word below ``min_count`` by language).  The rows hold
+    k, raw (the count), p (the probability after backing off where raw < min_count), and for bigrams
+    and trigrams the context with its back-off weight gamma.
+    """
     spark = docs.sparkSession
     three = cut_lineage(count_trigrams(docs, common))
     langs = sorted(common) or ["und"]
@@ -271,10 +277,11 @@ def fit_kneser_ney(docs: DataFrame, common: dict[str, frozenset[str]], rare_shar
             F.when(F.col("m1") == F.col("start"), F.col("raw")).otherwise(F.col("types")).alias("c"),
         )
     )
-    one = two.groupBy("lang", F.col("below").alias("k")).agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("c")).withColumn("context", F.lit(0).cast("bigint"))
+    one = cut_lineage(two.groupBy("lang", F.col("below").alias("k")).agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("c")))
     top = three.select("lang", F.col("k3").alias("k"), F.col("c2").alias("context"), F.col("s2").alias("below"), F.col("c").alias("raw"), "c")
+    kept = F.col("raw") >= min_count
 
-    def discounted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def discounted(grams: DataFrame) -> DataFrame:
         counts = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
         rates = []
         for r in grams.groupBy("lang").agg(*counts).collect():  # one row for each language
@@ -283,41 +290,84 @@ def fit_kneser_ney(docs: DataFrame, common: dict[str, frozenset[str]], rare_shar
             rates.append((r["lang"], *map(float, d)))
         table = spark.createDataFrame(rates or [("", 0.5, 1.0, 1.5)], "lang string, d1 double, d2 double, d3 double")
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        priced = grams.join(F.broadcast(table), "lang").withColumn("d", cut).drop("d1", "d2", "d3")
-        sums = priced.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.count(F.lit(1)).alias("types"))
-        return priced, sums
-
-    tokens = three.agg(F.sum("c")).collect()[0][0] or 0
-    least = max(min_count, math.ceil(tokens * rare_share))
-    p1, s1 = discounted(one)
-    s1 = s1.withColumn("floor", F.col("gamma") / (F.col("types") + 1))
-    price = (F.col("c") - F.col("d")) / F.col("total")
-    one_p = p1.join(F.broadcast(s1.drop("context")), "lang").select("k", "raw", (price + F.col("floor")).alias("p"))
-    p2, s2 = discounted(two)
-    lower = lambda df: df.select(F.col("k").alias("below"), F.col("p").alias("low"))
-    mixed = (price + F.col("gamma") * F.col("low")).alias("p")
-    two_p = cut_lineage(p2.join(s2.drop("lang"), "context").join(lower(one_p), "below").select("k", "raw", mixed))
-    p3, s3 = discounted(top)
-    # only the trigrams that the model keeps are priced; their sums are over all
-    three_p = p3.where(F.col("raw") >= least).join(s3.drop("lang"), "context").join(lower(two_p), "below").select("k", "raw", mixed)
-    none = F.lit(None).cast("double")
-    seen = lambda df: df.where(F.col("raw") >= least).select("k", "p", none.alias("gamma"))
-    left = lambda df: df.where(F.col("total") >= least).select(F.col("context").alias("k"), none.alias("p"), "gamma")
-    entries = (
-        seen(one_p).unionByName(seen(two_p)).unionByName(seen(three_p)).unionByName(left(s2)).unionByName(left(s3))
-        .groupBy("k")
-        .agg(F.max("p").alias("p"), F.max("gamma").alias("gamma"))
-        .select("k", F.log("p").cast("float").alias("p"), F.log("gamma").cast("float").alias("gamma"))
+        return grams.join(F.broadcast(table), "lang").withColumn("d", cut).drop("d1", "d2", "d3")
+
+    def mixed(grams: DataFrame, lower: DataFrame) -> DataFrame:
+        priced = discounted(grams).join(lower.select(F.col("k").alias("below"), F.col("p").alias("low")), "below")
+        own = F.col("c") - F.col("d")
+        sums = priced.groupBy("context").agg(
+            F.sum("c").alias("total"), F.sum("d").alias("cut"),
+            F.sum(F.when(kept, 0.0).otherwise(own)).alias("left"), F.sum(F.when(kept, F.col("low")).otherwise(0.0)).alias("held"),
+        )
+        # what the rare n-grams of a context leave goes to the words that it does not hold
+        share = F.col("cut") / F.col("total")
+        weight = share + F.col("left") / F.col("total") / F.greatest(F.lit(1.0) - F.col("held"), F.lit(1e-9))
+        sums = sums.select("context", "total", share.alias("share"), weight.alias("gamma"))
+        p = F.when(kept, own / F.col("total") + F.col("share") * F.col("low")).otherwise(F.col("gamma") * F.col("low"))
+        return priced.join(sums, "context").select("k", "raw", "context", "gamma", p.alias("p"))
+
+    p1 = discounted(one)
+    s1 = p1.groupBy("lang").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.count(F.lit(1)).alias("types"))
+    own = (F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") / (F.col("types") + 1)
+    one_p = p1.join(F.broadcast(s1), "lang").select("lang", "k", "raw", "gamma", "types", own.alias("p"))
+    # words below min_count share what they have with one unseen word
+    rare = one_p.groupBy("lang").agg(
+        F.first(F.col("gamma") / (F.col("types") + 1)).alias("floor"), F.sum(F.when(kept, 0.0).otherwise(F.col("p"))).alias("left"), F.count_if(~kept).alias("n"),
     )
-    frame = entries.toPandas()  # at most 2 * ORDER / rare_share rows of 16 bytes
-    unknown = {r["lang"]: math.log(r["floor"]) for r in s1.select("lang", "floor").collect()}
+    unknown = {r["lang"]: (r["floor"] + r["left"]) / (r["n"] + 1) for r in rare.collect()}  # one row for each language
+    table = spark.createDataFrame(list(unknown.items()) or [("", 0.0)], "lang string, rare double")
+    words = one_p.join(F.broadcast(table), "lang").select("k", "raw", F.when(kept, F.col("p")).otherwise(F.col("rare")).alias("p"))
+    bigrams = cut_lineage(mixed(two, words))
+    return words, bigrams, mixed(top, bigrams), unknown
+
+
+def fit_kneser_ney(docs: DataFrame, common: dict[str, frozenset[str]], min_count: int = MIN_COUNT) -> SortedModel:
+    """The model of few documents in memory, to score other texts; a large table is scored by ``corpus_perplexities``."""
+    words, bigrams, trigrams, unknown = priced_grams(docs, common, min_count)
+    none = F.lit(None).cast("double")
+    seen = lambda df: df.where(F.col("raw") >= min_count).select("k", "p", none.alias("gamma"))
+    left = lambda df: df.select(F.col("context").alias("k"), none.alias("p"), "gamma")
+    entries = seen(words).unionByName(seen(bigrams)).unionByName(seen(trigrams)).unionByName(left(bigrams)).unionByName(left(trigrams))
+    frame = entries.groupBy("k").agg(F.log(F.max("p")).alias("p"), F.log(F.max("gamma")).alias("gamma")).toPandas()
     return SortedModel(
-        frame["k"].to_numpy(dtype="int64"), frame["p"].to_numpy(dtype="float32"), np.nan_to_num(frame["gamma"].to_numpy(dtype="float32")), unknown
+        frame["k"].to_numpy(dtype="int64"), frame["p"].to_numpy(dtype="float64"), np.nan_to_num(frame["gamma"].to_numpy(dtype="float64")),
+        {lang: math.log(p) for lang, p in unknown.items()},
     )
 
 
+def corpus_perplexities(docs: DataFrame, common: dict[str, frozenset[str]], min_count: int = MIN_COUNT) -> DataFrame:
+    """(fixture_id, field_name, lang, n_words, perplexity) of every field with words, under the model of the same documents."""
+    prices = priced_grams(docs, common, min_count)[2].select("k", F.log("p").alias("log_p"))
+    schema = "fixture_id bigint, html boolean, lang string, n_words int, text_hash bigint, k bigint, n int"
+
+    def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for part in _chunks(parts):
+            rows, ones = [], []
+            for fixture_id, name, text in _fields(part):
+                lang, words = document_words(text, common)
+                if words:
+                    rows.append((fixture_id, name == "html", lang, len(words), xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)))
+                    ones.append(hashes.words(lang, words))
+            if not rows:
+                continue
+            number, _, _, three, _, _ = hashes.grams(ones)
+            order = np.lexsort((three, number))
+            number, three = number[order], three[order]
+            first = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (three[1:] != three[:-1]))))
+            frame = pd.DataFrame(rows, columns=["fixture_id", "html", "lang", "n_words", "text_hash"]).iloc[number[first]]
+            yield frame.assign(k=three[first].view(np.int64), n=np.diff(np.append(first, len(three))))
+
+    wanted = docs.where(F.col("fixture_id").isNotNull()).select("fixture_id", "html", "markdown")
+    text = ["fixture_id", "html", "lang", "n_words", "text_hash"]
+    # equal rows add to both sums alike
+    sums = wanted.mapInPandas(grams, schema).join(prices, "k").groupBy(*text).agg((F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("mean"))
+    name = F.when(F.col("html"), "html").otherwise("markdown").alias("field_name")
+    return sums.select("fixture_id", name, "lang", F.col("n_words").cast("bigint").alias("n_words"), F.round(F.exp(-F.col("mean")), 4).alias("perplexity"))
+
+
 def perplexities(docs: DataFrame, common: dict[str, frozenset[str]], model: SortedModel) -> DataFrame:
-    """(fixture_id, field_name, lang, n_words, perplexity) of every field with words."""
+    """(fixture_id, field_name, lang, n_words, perplexity) of every field with words, under a model held in memory."""
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()

@@ -118,6 +118,33 @@ def test_kneser_ney_is_a_distribution_and_prefers_what_it_saw(spark):
     assert all(p <= 1e-6 for p in model.log_p[model.log_p == model.log_p])
 
 
+def test_rare_grams_leave_their_share_to_the_back_off(spark):
+    import numpy as np
+
+    texts = ["the cat sat on the mat", "the cat sat on the rug", "the cat ran off", "the dog sat down", "on the cat sat"]
+    docs = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "fixture_id bigint, html string, markdown string")
+    common = {"en": frozenset(["the", "on"])}
+    model = repetition.fit_kneser_ney(docs, common)
+    hashes = repetition.WordHashes()
+    known = sorted({w for t in texts for w in t.split()})
+    ends = [hashes.words("en", [w])[2] for w in [*known, "unseen"]] + [hashes.words("en", [])[-1]]
+    for before in (["the", "cat"], ["cat", "sat"], ["on", "the"], ["the", "zzz"]):
+        a, b = hashes.words("en", before)[2:4]
+        grams = [np.concatenate(x) for x in zip(*(hashes.grams([np.array([a, b, e], dtype=np.uint64)]) for e in ends))]
+        logs = model.log_probabilities(np.full(len(ends), model.unknown["en"]), *(g.view(np.int64) for g in grams[1:]))
+        assert abs(np.exp(logs).sum() - 1) < 1e-6
+
+
+def test_joined_perplexities_are_those_of_the_model_in_memory(spark):
+    texts = ["the cat sat on the mat", "the cat sat on the rug", "the cat ran off", "the dog sat down", "on the cat sat", "the the the", "zzz"]
+    docs = spark.createDataFrame([(i % 6, f"<p>{t}</p>" if i % 2 else None, t) for i, t in enumerate(texts + texts[:2])] + [(None, None, "the end")], "fixture_id bigint, html string, markdown string")
+    common = {"en": frozenset(["the", "on"])}
+    want = repetition.perplexities(docs, common, repetition.fit_kneser_ney(docs, common)).distinct()
+    got = repetition.corpus_perplexities(docs, common).distinct()
+    assert [r[:4] for r in rows(got)] == [r[:4] for r in rows(want)]
+    assert all(abs(a[4] - b[4]) <= 2e-4 for a, b in zip(rows(got), rows(want)))
+
+
 def test_fitted_line_model_keeps_the_labels(spark):
     texts = spark.createDataFrame([("The house is in the garden of a king.\n- red\n- blue\n1 | 2 | 3",)] * 20, "text string")
     common = frozenset("the is in of a".split())
