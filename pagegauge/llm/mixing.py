@@ -1,7 +1,8 @@
 """Mixing sources to target shares of tokens, with a cap on how often a document may be used.
 
 ``soft_rates``: a naive Bayes classifier, fitted on the labelled rows, predicts each document's
-domain posteriors from hashed shapes of its lines.  Nonnegative document rates are then fitted by
+domain posteriors from three views of the whole text, hashed: how its lines begin, end and are
+built, all runs of ``RUN`` signs of its lines with words as w, and all its words and word pairs.  Nonnegative document rates are then fitted by
 distributed projected-gradient least squares, so that the expected token totals of the domains match
 the targets at the largest total that the caps allow.  A document's rate is a function of the
 residuals of the steps so far, so a step needs one aggregation of as many sums as there are domains
@@ -32,7 +33,11 @@ from pyspark.sql import functions as F
 from pagegauge.llm.tokenise import encode, encoder
 from pagegauge.session import cut_lineage
 
-FEATURES = 4096
+#: hash buckets of a view, and the weight of each view: words tell less of a source than shapes do
+BUCKETS = 4096
+VIEWS = (1.0, 1.0, 0.1)
+FEATURES = BUCKETS * len(VIEWS)
+RUN = 6
 STEPS = 25
 HASH_BUCKETS = 4096
 #: fixed targets: a table of one row for each source, the same at every scale
@@ -44,21 +49,26 @@ _DIGITS = re.compile(r"\d+")
 
 
 def features(text: str) -> list[int]:
-    """Hash buckets of how the lines begin, end and are built; digits as 0, words as w."""
+    """Hash buckets, view by view, of the lines' beginnings, ends and build, of the shape of all the text and of all its words; digits as 0."""
     lines = [x for line in text.splitlines() if (x := line.strip())]
     n = len(lines)
     found = {f"n{min(n, 12)}", f"chars{min(12, len(text) // 200)}", f"mean{min(20, len(text) // max(1, n) // 25)}"}
     heads: dict[str, int] = {}
+    shapes: set[str] = set()
     for line in lines:
         first = line[:40].split(" ", 2)
         plain = first[0].isalpha() and (len(first) == 1 or first[1].isalpha())
         head = "w" if plain else _DIGITS.sub("0", first[0].lower())
         heads[head] = heads.get(head, 0) + 1
         found.add("s" + _WORD.sub("w", _DIGITS.sub("0", line[:24])))
+        shape = _WORD.sub("w", _DIGITS.sub("0", line))
+        shapes.update([shape[at : at + RUN] for at in range(max(1, len(shape) - RUN + 1))])
         found.add("e" + line[-1])
         found.add("p" + _SIGNS.sub("", line)[:6])
     found.update(f"h{head}*{min(4, round(4 * c / n))}" for head, c in heads.items())
-    return sorted({xxhash.xxh3_64_intdigest(f) % FEATURES for f in found})
+    words = _DIGITS.sub("0", text.lower()).split()
+    views = (found, shapes, {*words, *map(" ".join, zip(words, words[1:]))})
+    return sorted({view * BUCKETS + xxhash.xxh3_64_intdigest(f) % BUCKETS for view, of in enumerate(views) for f in of})
 
 
 def targets_of(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
@@ -93,18 +103,21 @@ def sized_documents(docs: DataFrame, with_features: bool, path: str | None = Non
 
 
 class DomainClassifier:
-    """Naive Bayes over the presence of features, tempered so that long texts stay soft."""
+    """Naive Bayes over the presence of features, each view tempered so that long texts stay soft."""
 
     def __init__(self, domains: list[str], counts: np.ndarray, documents: np.ndarray) -> None:
         self.domains = domains
         rate = (counts + 0.1) / (documents[:, None] + 0.2)
         self.weight = np.log(rate) - np.log1p(-np.minimum(rate, 1 - 1e-9))
-        self.base = np.log1p(-np.minimum(rate, 1 - 1e-9)).sum(axis=1) + np.log((documents + 1) / (documents.sum() + len(domains)))
+        self.base = np.log1p(-np.minimum(rate, 1 - 1e-9)).reshape(len(domains), len(VIEWS), BUCKETS).sum(axis=2)
+        self.base += np.log((documents + 1) / (documents.sum() + len(domains)))[:, None]
 
     def posteriors(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.empty((len(rows), len(self.domains)))
         for i, f in enumerate(rows):
-            score = (self.base + self.weight[:, f].sum(axis=1)) / math.sqrt(1 + len(f))
+            score = np.zeros(len(self.domains))
+            for view, own in enumerate(np.split(f, np.searchsorted(f, [BUCKETS * v for v in range(1, len(VIEWS))]))):
+                score += VIEWS[view] * (self.base[:, view] + self.weight[:, own].sum(axis=1)) / math.sqrt(1 + len(own))
             score = np.exp(score - score.max())
             out[i] = score / score.sum()
         return out

@@ -211,6 +211,13 @@ def test_wrappers():
     assert wrappers.as_expression(wrapper) == '<ul>(<li>SLOT</li>)+</ul><h1>SLOT</h1>(<p>"x"</p>)+(<aside>"q"</aside>)?'
 
 
+def test_features_read_the_whole_text():
+    same = "The report of the week begins with the same words "
+    a, b = (mixing.features(same + end) for end in ("and goes on about iron and coal.", "and goes on about milk and corn."))
+    assert set(a) != set(b)
+    assert set(mixing.features("one\ntwo three four")) != set(mixing.features("one\ntwo three five"))
+
+
 def test_features_and_rates():
     assert mixing.features("") == [] or all(0 <= f < mixing.FEATURES for f in mixing.features(""))
     import numpy as np
