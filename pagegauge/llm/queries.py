@@ -13,7 +13,8 @@ from pagegauge.sources.tables import read_spread, read_table
 
 
 def _line_model(spark: SparkSession, folder: str) -> quality.LineModel:
-    return quality.LineModel(quality.load_common_words(read_table(spark, folder, "common_words")))
+    """The model that p3 judges by, fitted over all texts."""
+    return quality.fit_line_model(_texts(spark, folder), quality.load_common_words(read_table(spark, folder, "common_words")))
 
 
 # 1. markup residue
@@ -90,8 +91,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _label_shares(spark: SparkSession, folder: str) -> DataFrame:
     texts = _texts(spark, folder)
-    model = quality.fit_line_model(texts, quality.load_common_words(read_table(spark, folder, "common_words")))
-    return quality.label_shares(texts.where(F.col("row_id").isNotNull()), model)
+    return quality.label_shares(texts.where(F.col("row_id").isNotNull()), _line_model(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

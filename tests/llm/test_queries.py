@@ -77,6 +77,15 @@ def test_found_rows(spark, folder):
     assert ids[3] == [] and ids[4] == [] and len(ids) == 8
 
 
+def test_markdown_is_left_out_by_the_model_of_p3(spark, folder, monkeypatch):
+    flat = [[[1 / n] * n for n in quality.SIZES] for _ in quality.STATES]
+    monkeypatch.setattr(quality, "fit_line_model", lambda texts, common: quality.LineModel(common, [0.01, 0.01, 0.01, 0.97], None, flat))
+    run = lambda name: rows(queries.QUERIES[name](spark, folder))
+    assert ("fixture_docs", 1) in run("p3_found")
+    assert (1, "markdown", "heading", "One") not in run("p1_found")
+    assert "markdown" not in {r[1] for r in run("p4_shares")}
+
+
 def test_look_alike_pairs_against_brute_force(spark):
     texts = ["cop", "сор", "cоp", "cop", "Cop", "c op", "cop​", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("form", F.lit(1))
