@@ -398,7 +398,7 @@ class Converter:
         if _HAS_TAG.search(text) is not None:
             renderer = _Renderer(None)
             root = parse(text)
-            renderer.walk(root, "paragraph", 0, 0, 0)
+            renderer.walk(root, "paragraph", 0, 0)
             renderer.flush("paragraph", 0, 0)
             self.rendered(renderer.out)
         else:

@@ -64,7 +64,7 @@ class _Seen:
         self.cut = self.h1 = False
 
 
-def _measure(node: Node, seen: dict[int, _Seen], in_link: bool, depth: int) -> _Seen:
+def _opened(node: Node, seen: dict[int, _Seen]) -> _Seen:
     s = _Seen()
     seen[id(node)] = s
     tag = node.tag
@@ -78,33 +78,11 @@ def _measure(node: Node, seen: dict[int, _Seen], in_link: bool, depth: int) -> _
             s.cut = True
     if tag in _LANDMARK:
         s.cut = True
-    if s.cut or depth > 400:
-        return s
-    in_link = in_link or tag == "a"
-    fallback = None
-    for kid in node.kids:
-        if kid.__class__ is str:
-            n = len(kid) if not kid.isspace() else 0
-            s.chars += n
-            if in_link:
-                s.linked += n
-        else:
-            k = _measure(kid, seen, in_link, depth + 1)
-            if kid.tag == "noscript":
-                fallback = fallback or kid
-            if kid.tag in BLOCK:
-                s.blocks += 1
-            if k.cut:
-                continue
-            s.chars += k.chars
-            s.linked += k.linked
-            s.links += k.links
-            s.h1 = s.h1 or k.h1
-    if not s.chars and fallback is not None:
-        # without scripts the notice is all that this element shows
-        fallback.tag = "div"
-        k = _measure(fallback, seen, in_link, depth + 1)
-        s.chars, s.linked, s.links, s.h1 = k.chars, k.linked, k.links, k.h1
+    return s
+
+
+def _closed(node: Node, s: _Seen) -> None:
+    tag = node.tag
     if tag == "a" and s.chars:
         s.links += 1
     if tag == "h1":
@@ -115,7 +93,54 @@ def _measure(node: Node, seen: dict[int, _Seen], in_link: bool, depth: int) -> _
         s.cut = True
     elif s.links > 2 and tag in ("div", "td") and not s.blocks and s.linked >= 0.5 * s.chars:
         s.cut = True
-    return s
+
+
+def _measure(root: Node, seen: dict[int, _Seen]) -> _Seen:
+    # a stack instead of recursion: elements nest as deep as they like
+    top = _opened(root, seen)
+    if top.cut:
+        return top
+    # element, its figures, in a link, kids left, first notice for pages without scripts, whether it is one
+    stack: list[list] = [[root, top, root.tag == "a", iter(root.kids), None, False]]
+    while stack:
+        frame = stack[-1]
+        node, s, in_link, kids, _, notice = frame
+        for kid in kids:
+            if kid.__class__ is str:
+                n = len(kid) if not kid.isspace() else 0
+                s.chars += n
+                if in_link:
+                    s.linked += n
+                continue
+            k = _opened(kid, seen)
+            if kid.tag == "noscript":
+                frame[4] = frame[4] or kid
+            if kid.tag in BLOCK:
+                s.blocks += 1
+            if not k.cut:
+                stack.append([kid, k, in_link or kid.tag == "a", iter(kid.kids), None, False])
+                break
+        else:
+            fallback = frame[4]
+            if not s.chars and fallback is not None:
+                # without scripts the notice is all that this element shows
+                fallback.tag = "div"
+                frame[4] = None
+                k = _opened(fallback, seen)
+                s.linked = s.links = 0
+                s.h1 = False
+                if not k.cut:
+                    stack.append([fallback, k, in_link, iter(fallback.kids), None, True])
+                    continue
+            stack.pop()
+            _closed(node, s)
+            if stack and (notice or not s.cut):
+                up = stack[-1][1]
+                up.chars += s.chars
+                up.linked += s.linked
+                up.links += s.links
+                up.h1 = up.h1 or s.h1
+    return top
 
 
 def _find_main(node: Node, seen: dict[int, _Seen]) -> Node | None:
@@ -129,7 +154,7 @@ def _find_main(node: Node, seen: dict[int, _Seen]) -> Node | None:
 def main_body(root: Node) -> tuple[Node | None, dict[int, _Seen]]:
     """The element with the page's own content, and what was measured (``cut`` elements are left out)."""
     seen: dict[int, _Seen] = {}
-    top = _measure(root, seen, False, 0)
+    top = _measure(root, seen)
     if not top.chars:
         return None, seen
     node = _find_main(root, seen) or root
@@ -202,59 +227,64 @@ class _Renderer:
             if part.strip("\x01 \n\t\r\f"):
                 self.out.append(Block(kind, part.replace(BR, "\n"), item, level))
 
-    def walk(self, node: Node, kind: str, item: int, level: int, depth: int) -> None:
-        for kid in node.kids:
-            if kid.__class__ is str:
-                self.run.append(kid)
-                continue
-            tag = kid.tag
-            if tag == "br":
-                self.run.append(BR)
-                continue
-            if tag == "script":
-                if kid.raw and _MATH_TYPE.search(kid.attrs.get("type", "")):
-                    tex = "".join(k for k in kid.kids if k.__class__ is str)
-                    if "display" in kid.attrs["type"]:
-                        self.flush(kind, item, level)
-                        self.out.append(Block("formula", tex, item, level))
-                    else:
-                        self.run.append(f"\\({tex.strip()}\\)")
-                continue
-            if tag == "math":
-                note = next((n for n in kid.walk() if n.tag == "annotation"), kid)
-                self.run.append(f"\\({note.text().strip()}\\)")
-                continue
-            if tag in _INVISIBLE or depth > 400:
-                continue
-            if self.cut is not None:
-                s = self.cut.get(id(kid))
-                if s is None or s.cut:
+    def walk(self, node: Node, kind: str, item: int, level: int) -> None:
+        # kids left, what their text is, and what is flushed when they end
+        stack: list[tuple] = [(iter(node.kids), kind, item, level, False)]
+        while stack:
+            kids, kind, item, level, ends = stack[-1]
+            for kid in kids:
+                if kid.__class__ is str:
+                    self.run.append(kid)
                     continue
-            elif _hidden(kid):
-                continue
-            if tag not in BLOCK:
-                self.walk(kid, kind, item, level, depth + 1)
-                continue
-            self.flush(kind, item, level)
-            if tag == "pre" or tag == "syntaxhighlight":
-                self.out.append(Block("code", kid.text(), item, level))
-            elif tag in HEADINGS:
-                self.walk(kid, "heading", item, int(tag[1]), depth + 1)
-                self.flush("heading", item, int(tag[1]))
-            elif tag == "li" or tag == "dd" or tag == "dt":
-                if tag == "li":
+                tag = kid.tag
+                if tag == "br":
+                    self.run.append(BR)
+                    continue
+                if tag == "script":
+                    if kid.raw and _MATH_TYPE.search(kid.attrs.get("type", "")):
+                        tex = "".join(k for k in kid.kids if k.__class__ is str)
+                        if "display" in kid.attrs["type"]:
+                            self.flush(kind, item, level)
+                            self.out.append(Block("formula", tex, item, level))
+                        else:
+                            self.run.append(f"\\({tex.strip()}\\)")
+                    continue
+                if tag == "math":
+                    note = next((n for n in kid.walk() if n.tag == "annotation"), kid)
+                    self.run.append(f"\\({note.text().strip()}\\)")
+                    continue
+                if tag in _INVISIBLE:
+                    continue
+                if self.cut is not None:
+                    s = self.cut.get(id(kid))
+                    if s is None or s.cut:
+                        continue
+                elif _hidden(kid):
+                    continue
+                if tag not in BLOCK:
+                    stack.append((iter(kid.kids), kind, item, level, False))
+                    break
+                self.flush(kind, item, level)
+                if tag == "pre" or tag == "syntaxhighlight":
+                    self.out.append(Block("code", kid.text(), item, level))
+                    continue
+                if tag == "table" and is_data_table(kid):
+                    self.table(kid, item)
+                    continue
+                inner = (kind, item, level)
+                if tag in HEADINGS:
+                    inner = ("heading", item, int(tag[1]))
+                elif tag == "li":
                     self.items += 1
-                inner = self.items if tag == "li" else item
-                self.walk(kid, "list_item" if tag == "li" else kind, inner, level, depth + 1)
-                self.flush("list_item" if tag == "li" else kind, inner, level)
-            elif tag == "blockquote":
-                self.walk(kid, "quote", item, level, depth + 1)
-                self.flush("quote", item, level)
-            elif tag == "table" and is_data_table(kid):
-                self.table(kid, item)
+                    inner = ("list_item", self.items, level)
+                elif tag == "blockquote":
+                    inner = ("quote", item, level)
+                stack.append((iter(kid.kids), *inner, True))
+                break
             else:
-                self.walk(kid, kind, item, level, depth + 1)
-                self.flush(kind, item, level)
+                stack.pop()
+                if ends:
+                    self.flush(kind, item, level)
 
     def table(self, table: Node, item: int) -> None:
         """Cells of a data table, in aligned columns."""
@@ -276,7 +306,7 @@ def blocks(html: str, main_only: bool) -> list[Block]:
     else:
         node, renderer = root, _Renderer(None)
     level = int(node.tag[1]) if node.tag in HEADINGS else 0
-    renderer.walk(node, "heading" if level else "paragraph", 0, level, 0)
+    renderer.walk(node, "heading" if level else "paragraph", 0, level)
     renderer.flush("heading" if level else "paragraph", 0, level)
     return renderer.out
 

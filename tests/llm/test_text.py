@@ -70,6 +70,14 @@ def test_renderer_survives_any_markup(text):
     markup.markdown_elements(text)
 
 
+@pytest.mark.parametrize("tag", ["font", "div"])
+def test_text_at_any_depth_is_rendered(tag):
+    html = "<html><body><p>First.</p>" + f"<{tag}>" * 3000 + "deep"
+    for main_only in (True, False):
+        assert "deep" in render.render_text(html, main_only)
+    assert "deep" in " ".join(v for _, v in markup.clean_blocks("List<String> " * 500 + "deep", False))
+
+
 def test_residue_labels():
     index = residue.ExemplarIndex()
     label = lambda body: residue.residue_label(render.blocks(f"<body>{body}</body>", True), index)
