@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from pagegauge.functions.documents import parsed_html
 from pagegauge.functions.urls import normal_url, origin
 
-#: resources larger than this are not read (a fixed bound of the contract)
-MAX_BYTES = 5 * 1024 * 1024
-
 
 def latest(rows: DataFrame, *columns: str) -> DataFrame:
     """(fetch_id, *columns) of the row of each fetch that was loaded last.
@@ -30,7 +27,7 @@ def is_html(content_type: Column, html: Column) -> Column:
 def parsed_pages(fetches: DataFrame, html: Column | None = None) -> DataFrame:
     """``fetches`` with normalised addresses and ``doc``, the parsed page of a successful HTML response (else NULL)."""
     html = F.col("html") if html is None else html
-    readable = F.col("status").between(200, 299) & is_html(F.col("content_type"), F.col("html")) & (F.length("html") <= MAX_BYTES)
+    readable = F.col("status").between(200, 299) & is_html(F.col("content_type"), F.col("html"))
     with_html = fetches.withColumn("html", F.when(readable, html))
     return with_html.withColumns({"url": normal_url("requested_url"), "final": F.coalesce(normal_url("final_url"), normal_url("requested_url"))}).withColumns(
         {"doc": F.when(F.col("html").isNotNull(), parsed_html("html")), "origin": origin(F.col("final"))}

@@ -216,6 +216,12 @@ def test_site_relations(spark, pages):
     assert order == [(1, "http://s.test/"), (2, "http://s.test/b"), (3, "http://s.test/gone")]
 
 
+def test_a_response_of_any_length_is_parsed(spark):
+    rows = [page(1, "/long", "<p>" + "x" * (5 * 1024 * 1024) + "</p><a href=/last>l</a>")]
+    parsed = parsed_pages(spark.createDataFrame(rows, FETCH))
+    assert [r["dst"] for r in site.link_edges(parsed).select("dst").collect()] == ["http://s.test/last"]
+
+
 def test_translations_share_a_title(spark):
     def lang(i, path, code, others):
         head = "".join(f"<link rel=alternate hreflang={c} href='http://s.test{p}'>" for c, p in others)
