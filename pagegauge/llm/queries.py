@@ -221,6 +221,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.look_alike_pairs(read_spread(spark, folder, "documents", "doc_id", "text"))
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of look-alike texts of each document that has any."""
+    return confusables.look_alike_classes(read_spread(spark, folder, "documents", "doc_id", "text"))
+
+
 def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of each document."""
     return confusables.consistent_forms(read_spread(spark, folder, "documents", "doc_id", "text"))
@@ -231,7 +236,7 @@ QUERIES = {
     for f in (
         p1_method, p1_found, p1_clean_text, p2_found, p2_labels, p3_found, p3_label_shares, p3_statistics,
         p4_method, p4_found, p4_shares, p5_found, p5_main_text, p5_visible_text,
-        p7_ids, p7_token_counts, p8_method, p8_mix, p8_shares, p9_found, p9_forms,
+        p7_ids, p7_token_counts, p8_method, p8_mix, p8_shares, p9_found, p9_classes, p9_forms,
     )
 }
 ORACLE_SQL = {"p3_statistics": _P3_STATISTICS}

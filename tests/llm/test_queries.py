@@ -89,9 +89,11 @@ def test_markdown_is_left_out_by_the_model_of_p3(spark, folder, monkeypatch):
 def test_look_alike_pairs_against_brute_force(spark):
     texts = ["cop", "сор", "cоp", "cop", "Cop", "c op", "cop​", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("form", F.lit(1))
-    form = confusables.consistent_form
+    form = confusables.LookAlikes(confusables.load_look_alikes(spark)).form
     want = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a is not None and b is not None and a != b and form(a) == form(b)]
     assert rows(confusables.look_alike_pairs(df)) == want
+    classes = {r.doc_id: (r.class_id, r.n_links) for r in confusables.look_alike_classes(df).collect()}
+    assert classes == {i: (0, 3) for i in (0, 1, 2, 3, 6)}
 
 
 def test_mix_reaches_the_targets_within_the_caps(spark):

@@ -174,6 +174,11 @@ def test_decoder_replaces_invalid_bytes():
     assert d.feed(b"a\xff\xc3") + d.feed(b"\xa9\xe2\x82") + d.finish() == "a�é�"
 
 
+@pytest.fixture(scope="module")
+def looks(spark):
+    return confusables.LookAlikes(confusables.load_look_alikes(spark))
+
+
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
@@ -189,23 +194,37 @@ def test_decoder_replaces_invalid_bytes():
         ("①", "1", False),
         ("résumé", "resume", False),
         ("l", "I", False),
+        ("cӀub pӏn", "cIub pin", True),
+        ("Ꭱead", "Read", True),
+        ("ｶﾞ", "ガ", True),
+        ("ɡo ᴄat", "go cat", True),
+        ("ıf", "if", False),
+        ("𝐛old", "bold", False),
         ("привет сор", "привет cop", True),
         ("", "​", True),
     ],
 )
-def test_look_alikes(a, b, same):
-    assert (confusables.consistent_form(a) == confusables.consistent_form(b)) is same
+def test_look_alikes(looks, a, b, same):
+    assert (looks.form(a) == looks.form(b)) is same
+
+
+def test_consistent_spelling_follows_the_document(looks):
+    assert looks.form("привет мир, cop") == "привет мир, сор"
+    assert looks.form("the tеam") == "the team"
+    assert looks.form("σοφος φως") == "σοφος φως"
 
 
-def test_consistent_spelling_follows_the_document():
-    assert confusables.consistent_form("привет мир, cop") == "привет мир, сор"
-    assert confusables.consistent_form("the tеam") == "the team"
+@given(st.text(alphabet="aеоcxр bгωσοӀI", max_size=30))
+def test_form_is_stable(looks, text):
+    form = looks.form(text)
+    assert looks.form(form) == form
 
 
-@given(st.text(alphabet="aеоcxр bгω", max_size=30))
-def test_form_is_stable(text):
-    form = confusables.consistent_form(text)
-    assert confusables.consistent_form(form) == form
+@given(st.text(alphabet="acopxi ж", max_size=20), st.data())
+def test_replaced_letters_have_one_form(looks, text, data):
+    swap = {"a": "aа", "c": "cсϲ", "o": "oоο", "p": "pрρ", "x": "xх", "i": "iі"}
+    other = "".join(data.draw(st.sampled_from(swap[c])) if c in swap else c for c in text)
+    assert looks.form(text) == looks.form(other)
 
 
 def test_wrappers():
