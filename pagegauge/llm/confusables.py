@@ -112,17 +112,8 @@ class LookAlikes:
             found = self.scripts[letter] = script_of(letter)
         return found
 
-    def own_script(self, text: str) -> str:
-        """Script of most letters without look-alikes; Latin where there is none."""
-        counts: dict[str, int] = {}
-        for c, n in Counter(text).items():
-            if c not in self.class_of and c.isalpha():
-                script = self.script(c)
-                counts[script] = counts.get(script, 0) + n
-        counts.pop("", None)
-        return min(counts, key=lambda s: (-counts[s], self.rank(s))) if counts else "LATIN"
-
-    def spell(self, token: str, own: str) -> str:
+    def token_scripts(self, token: str) -> set[str]:
+        """The scripts that have all letters of a token, look-alikes included."""
         scripts: set[str] | None = None
         for c in token:
             key = self.class_of.get(c)
@@ -136,6 +127,29 @@ class LookAlikes:
             scripts = set(have) if scripts is None else scripts & have
             if not scripts:
                 break
+        return scripts or set()
+
+    def own_script(self, text: str) -> str:
+        """Script of most letters that can be of one only, by themselves or by their token; Latin where there is none."""
+        letters = Counter(text)
+        if all(self.script(c) in ("LATIN", "") for c in letters):
+            return "LATIN"
+        counts: dict[str, int] = {}
+        for c, n in letters.items():
+            if c not in self.class_of:
+                script = self.script(c)
+                counts[script] = counts.get(script, 0) + n
+        for token, n in Counter(_TOKEN.findall(text)).items():
+            if all(c in self.class_of for c in token):
+                scripts = self.token_scripts(token)
+                if len(scripts) == 1:
+                    (script,) = scripts
+                    counts[script] = counts.get(script, 0) + n * len(token)
+        counts.pop("", None)
+        return min(counts, key=lambda s: (-counts[s], self.rank(s))) if counts else "LATIN"
+
+    def spell(self, token: str, own: str) -> str:
+        scripts = self.token_scripts(token)
         if not scripts:
             # no script has all letters: each by itself, in the own script where its class has one
             return "".join(c if (k := self.class_of.get(c)) is None or self.script(c) == own else self.spellings[k].get(own, self.first[k]) for c in token)
