@@ -19,19 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegauge.llm.render import blocks, collapse, is_whole_page, render_text
-from pagegauge.llm.residue import ExemplarIndex, residue_label
+from pagegauge.llm import residue
+from pagegauge.llm.render import Block, blocks, collapse, is_whole_page, render_text
 
 LEAD = 40
 _PROSE_KINDS = frozenset(("paragraph", "heading", "list_item", "quote"))
 _ONLY_FORMULA = re.compile(r"\s*(?:\$\$.*\$\$|\\\[.*\\\]|\\\((?:(?!\\\)).)*\\\))\s*", re.S)
 
 
-def block_leads(html: str, index: ExemplarIndex | None) -> list[str]:
-    """First characters of the main body's text blocks; none for residue when ``index`` is given."""
-    found = blocks(html, True)
-    if index is not None and residue_label(found, index) is not None:
-        return []
+def block_leads(found: list[Block]) -> list[str]:
+    """First characters of the main body's text blocks."""
     leads = []
     for b in found:
         if b.kind in _PROSE_KINDS and len(b.text) >= LEAD:
@@ -41,29 +38,42 @@ def block_leads(html: str, index: ExemplarIndex | None) -> list[str]:
     return leads
 
 
-def page_blocks(pages: DataFrame, src_table: str, row_id: str, index: ExemplarIndex | None) -> DataFrame:
+def _page_leads(html: str, found: list[Block]) -> list[str] | None:
+    return block_leads(found) if is_whole_page(html) else None
+
+
+def _exploded(rows: DataFrame, src_table: str) -> DataFrame:
+    return rows.select(F.lit(src_table).alias("src_table"), "row_id", F.explode("leads").alias("block_lead")).distinct()
+
+
+def fetch_blocks(fetches: DataFrame) -> DataFrame:
+    """(src_table, row_id, block_lead) of the whole pages in ``fetches``; residue has no main body."""
+    scanned, index = residue.scan(fetches, _page_leads)
+    real = residue.judged(scanned, index).where("label IS NULL").select(F.col("fetch_id").alias("row_id"), "leads")
+    final = scanned.where("body IS NULL").select(F.col("fetch_id").alias("row_id"), "leads")
+    return _exploded(final.unionByName(real), "fetches")
+
+
+def page_blocks(pages: DataFrame, src_table: str, row_id: str) -> DataFrame:
     """(src_table, row_id, block_lead) of the whole pages in ``pages`` (columns ``row_id``, html)."""
 
     def lead(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids, leads = [], []
-            for page_id, html in zip(part["row_id"], part["html"]):
-                if is_whole_page(html):
-                    found = block_leads(html, index)
-                    ids.extend([page_id] * len(found))
-                    leads.extend(found)
-            yield pd.DataFrame({"src_table": src_table, "row_id": pd.Series(ids, dtype="int64"), "block_lead": pd.Series(leads, dtype="str")})
+            leads = [block_leads(blocks(html, True)) if is_whole_page(html) else [] for html in part["html"]]
+            yield pd.DataFrame({"row_id": part["row_id"], "leads": leads})
 
     rows = pages.select(F.col(row_id).cast("bigint").alias("row_id"), "html").where(F.col(row_id).isNotNull() & (F.length("html") > 0))
-    return rows.mapInPandas(lead, "src_table string, row_id bigint, block_lead string").distinct()
+    return _exploded(rows.mapInPandas(lead, "row_id bigint, leads array<string>"), src_table)
 
 
-def rendered_pages(pages: DataFrame, row_id: str, main_only: bool) -> DataFrame:
-    """(row_id, rendered_text) of every page: all visible text, or the main body only."""
+def rendered_pages(pages: DataFrame, src_table: str, row_id: str, main_only: bool) -> DataFrame:
+    """(src_table, row_id, rendered_text) of every page of the fetches, and of whole pages of other tables: all visible text, or the main body only."""
+    only_whole = src_table != "fetches"
 
     def render(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"row_id": part["row_id"], "rendered_text": [render_text(h, main_only) for h in part["html"]]})
+            rows = [(i, render_text(h, main_only)) for i, h in zip(part["row_id"], part["html"]) if not only_whole or is_whole_page(h)]
+            yield pd.DataFrame(rows, columns=["row_id", "rendered_text"]).assign(src_table=src_table)[["src_table", "row_id", "rendered_text"]]
 
     rows = pages.select(F.col(row_id).cast("bigint").alias("row_id"), "html").where(F.col(row_id).isNotNull() & (F.length("html") > 0))
-    return rows.mapInPandas(render, "row_id bigint, rendered_text string")
+    return rows.mapInPandas(render, "src_table string, row_id bigint, rendered_text string")

@@ -162,22 +162,24 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
 # 5. main body
 
 
+def p5_method(spark: SparkSession, folder: str) -> DataFrame:
+    """All visible text of each fetch and of each whole page of the fixture documents: block spacing, lists and aligned cells kept."""
+    fetches = mainbody.rendered_pages(read_spread(spark, folder, "fetches", "fetch_id", "html"), "fetches", "fetch_id", False)
+    docs = mainbody.rendered_pages(read_spread(spark, folder, "fixture_docs", "fixture_id", "html"), "fixture_docs", "fixture_id", False)
+    return fetches.unionByName(docs).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Leads of the text blocks in the main body of each whole page."""
-    fetches = read_spread(spark, folder, "fetches", "fetch_id", "html")
-    docs = read_spread(spark, folder, "fixture_docs", "fixture_id", "html")
-    found = mainbody.page_blocks(fetches, "fetches", "fetch_id", residue.fitted_index(fetches))
-    return found.unionByName(mainbody.page_blocks(docs, "fixture_docs", "fixture_id", None))
+    found = mainbody.fetch_blocks(read_spread(spark, folder, "fetches", "fetch_id", "html"))
+    return found.unionByName(mainbody.page_blocks(read_spread(spark, folder, "fixture_docs", "fixture_id", "html"), "fixture_docs", "fixture_id"))
 
 
 def p5_main_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The main body of each fetch as text."""
-    return mainbody.rendered_pages(read_spread(spark, folder, "fetches", "fetch_id", "html"), "fetch_id", True).distinct()
-
-
-def p5_visible_text(spark: SparkSession, folder: str) -> DataFrame:
-    """All visible text of each fetch: block spacing, lists and aligned cells kept."""
-    return mainbody.rendered_pages(read_spread(spark, folder, "fetches", "fetch_id", "html"), "fetch_id", False).distinct()
+    """The main body of each fetch and of each whole page of the fixture documents as text."""
+    fetches = mainbody.rendered_pages(read_spread(spark, folder, "fetches", "fetch_id", "html"), "fetches", "fetch_id", True)
+    docs = mainbody.rendered_pages(read_spread(spark, folder, "fixture_docs", "fixture_id", "html"), "fixture_docs", "fixture_id", True)
+    return fetches.unionByName(docs).distinct()
 
 
 # 7. encoding
@@ -235,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_method, p1_found, p1_clean_text, p2_found, p2_labels, p3_found, p3_label_shares, p3_statistics,
-        p4_method, p4_found, p4_shares, p5_found, p5_main_text, p5_visible_text,
+        p4_method, p4_found, p4_shares, p5_method, p5_found, p5_main_text,
         p7_ids, p7_token_counts, p8_method, p8_mix, p8_shares, p9_found, p9_classes, p9_forms,
     )
 }

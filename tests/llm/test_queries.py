@@ -171,10 +171,12 @@ def test_wrappers_of_a_hot_host(spark):
     assert got[0]["wrapper"] == '<html><body><nav>"m"</nav><p>SLOT</p></body></html>'
 
 
-def test_page_terms_count_every_page(spark):
-    pages = spark.createDataFrame([(1, "<p>Lorem ipsum</p>"), (2, "<p>lorem</p>"), (3, None)], "fetch_id bigint, html string")
-    counts, total = residue.page_terms(pages, residue.ExemplarIndex().vocabulary)
-    assert total == 2 and counts["lorem"] == 2 and counts["ipsum"] == 1
+def test_terms_of_every_page_are_counted(spark):
+    pages = spark.createDataFrame([(1, "<p>Lorem ipsum</p>"), (2, "<p class='ipsum'>lorem</p>"), (3, None), (4, "<p>The cat sat there.</p>")], "fetch_id bigint, html string")
+    scanned, index = residue.scan(pages)
+    assert sorted(r["fetch_id"] for r in scanned.collect()) == [1, 2]
+    want = residue.ExemplarIndex(residue.EXEMPLARS, {"lorem": 2, "ipsum": 1, "there": 1, "the": 1}, 3)
+    assert index.weight["lorem"] == want.weight["lorem"] and index.weight["ipsum"] == want.weight["ipsum"] and index.unknown == want.unknown
 
 
 def test_long_and_odd_inputs(spark):
@@ -182,4 +184,4 @@ def test_long_and_odd_inputs(spark):
     docs = spark.createDataFrame([(1, long), (2, "x" * 300_000)], "doc_id bigint, text string")
     assert [r["ids"][:1] != [] for r in tokenise.token_ids(docs).collect()] == [True, True]
     page = spark.createDataFrame([(1, "<body>" + "<div>" * 3000 + "deep" + "</div>" * 3000)], "fetch_id bigint, html string")
-    assert mainbody.rendered_pages(page, "fetch_id", True).count() == 1
+    assert "deep" in mainbody.rendered_pages(page, "fetches", "fetch_id", True).first()["rendered_text"]

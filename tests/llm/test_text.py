@@ -87,6 +87,18 @@ def test_residue_labels():
     assert label("<p>Please enable JavaScript to view this page.</p>") == "scripts"
     real = "<h1>On errors</h1><p>A page that answers with 404 should still help its readers. The words page not found are not enough for most of them.</p>"
     assert label(real) is None and label(real + "<p>{{ title }}</p>") is None and label("") is None
+    # a placeholder weighs as many words, it does not override the rest
+    assert label("<p>" + "Iron bridges were painted red by hand " * 20 + "[draft].</p>") is None
+
+
+@given(st.lists(st.sampled_from("page not found error lorem ipsum iron bridge red {{x}} server. please javascript enable".split()), min_size=1, max_size=12), st.data())
+def test_what_may_be_residue_bounds_what_is(words, data):
+    plain = residue.ExemplarIndex()
+    counts = {w: data.draw(st.integers(0, 50)) for w in words}
+    index = residue.ExemplarIndex(residue.EXEMPLARS, counts, 50)
+    found = [render.Block("paragraph", " ".join(words))]
+    if residue.residue_label(found, index) is not None:
+        assert residue.may_be_residue(found, plain)
 
 
 @pytest.mark.parametrize(
