@@ -1,12 +1,16 @@
 """Mixing sources to target shares of tokens, with a cap on how often a document may be used.
 
-``soft_rates``: a naive Bayes classifier, fitted on the labelled rows, predicts each document's
-domain posteriors from three views of the whole text, hashed: how its lines begin, end and are
-built, all runs of ``RUN`` signs of its lines with words as w, and all its words and word pairs.  Nonnegative document rates are then fitted by
-distributed projected-gradient least squares, so that the expected token totals of the domains match
-the targets at the largest total that the caps allow.  A document's rate is a function of the
-residuals of the steps so far, so a step needs one aggregation of as many sums as there are domains
-and no stored state.
+``soft_rates``: a naive Bayes classifier, fitted on at most ``FIT_DOCUMENTS`` labelled rows, predicts
+each document's domain posteriors from three views of the whole text, hashed: how its lines begin,
+end and are built, all runs of ``RUN`` signs with words as w, and all its words and word pairs.  Its
+temperature is chosen on at most ``HELD_OUT`` other labelled rows.  Nonnegative document rates are
+then fitted by distributed projected-gradient least squares in the metric of the rates that are still
+free, so that the expected token totals of the domains match the targets.  A rate is at most the
+``max_repeats`` of the document's own source, and 0 for sources without a target.  The total is the
+largest that the caps allow of the tried ones: where the fit does not come within ``TOLERANCE`` it is
+lowered.  A document's rate is a function of its posteriors (in steps of 1 / ``GRID``), its cap and
+the steps so far, so the fit runs over the different ones of these, and a step needs one aggregation
+of as many sums as there are pairs of domains.
 
 ``hard_mix``: the same targets for the labels as given.  Each source gets the rate share * total /
 tokens; whole copies come first, the rest is a prefix of the documents in hash order, cut exactly by
@@ -38,7 +42,12 @@ BUCKETS = 4096
 VIEWS = (1.0, 1.0, 0.1)
 FEATURES = BUCKETS * len(VIEWS)
 RUN = 6
-STEPS = 25
+#: bounds of the labelled rows that the classifier is fitted on and its temperature is chosen on
+FIT_DOCUMENTS, HELD_OUT = 40_000, 4_000
+TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0)
+GRID = 256
+#: steps at one total, times that the total is lowered, by how much, and the error that ends the fit (share of the total)
+STEPS, LOWERINGS, LOWER, TOLERANCE = 12, 8, 0.97, 1e-4
 HASH_BUCKETS = 4096
 #: fixed targets: a table of one row for each source, the same at every scale
 MAX_SOURCES = 10_000
@@ -48,27 +57,64 @@ _SIGNS = re.compile(r"[\w\s]")
 _DIGITS = re.compile(r"\d+")
 
 
-def features(text: str) -> list[int]:
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+class _Memo(dict):
+    """String to 64-bit hash; forgets all when it has grown large."""
+
+    def __missing__(self, key: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[key] = xxhash.xxh3_64_intdigest(key)
+        return h
+
+
+_HASHES = _Memo()
+
+
+def _hashed(strings: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, strings), dtype=np.uint64, count=len(strings))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX
+    return h ^ (h >> np.uint64(31))
+
+
+def _runs(text: str) -> np.ndarray:
+    """A hash of each run of ``RUN`` signs."""
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    if len(signs) < RUN:
+        return _hashed([text])
+    n = len(signs) - RUN + 1
+    h = signs[:n].copy()
+    for k in range(1, RUN):
+        h = h * _ODD + signs[k : k + n]
+    return _mixed(h)
+
+
+def features(text: str) -> np.ndarray:
     """Hash buckets, view by view, of the lines' beginnings, ends and build, of the shape of all the text and of all its words; digits as 0."""
     lines = [x for line in text.splitlines() if (x := line.strip())]
     n = len(lines)
     found = {f"n{min(n, 12)}", f"chars{min(12, len(text) // 200)}", f"mean{min(20, len(text) // max(1, n) // 25)}"}
     heads: dict[str, int] = {}
-    shapes: set[str] = set()
-    for line in lines:
-        first = line[:40].split(" ", 2)
+    shape = _WORD.sub("w", _DIGITS.sub("0", "\n".join(lines)))
+    for line, built in zip(lines, shape.split("\n")):
+        first = line.split(" ", 2)
         plain = first[0].isalpha() and (len(first) == 1 or first[1].isalpha())
         head = "w" if plain else _DIGITS.sub("0", first[0].lower())
         heads[head] = heads.get(head, 0) + 1
-        found.add("s" + _WORD.sub("w", _DIGITS.sub("0", line[:24])))
-        shape = _WORD.sub("w", _DIGITS.sub("0", line))
-        shapes.update([shape[at : at + RUN] for at in range(max(1, len(shape) - RUN + 1))])
+        found.add("s" + built[:12])
         found.add("e" + line[-1])
-        found.add("p" + _SIGNS.sub("", line)[:6])
+        found.add("p" + _SIGNS.sub("", built))
     found.update(f"h{head}*{min(4, round(4 * c / n))}" for head, c in heads.items())
-    words = _DIGITS.sub("0", text.lower()).split()
-    views = (found, shapes, {*words, *map(" ".join, zip(words, words[1:]))})
-    return sorted({view * BUCKETS + xxhash.xxh3_64_intdigest(f) % BUCKETS for view, of in enumerate(views) for f in of})
+    words = _hashed(_DIGITS.sub("0", text.lower()).split())
+    with np.errstate(over="ignore"):
+        pairs = _mixed(words[:-1] * _ODD + words[1:])
+        views = (_hashed(list(found)), _runs(shape), np.concatenate((words, pairs)))
+    return np.concatenate([np.unique(view % np.uint64(BUCKETS)).astype(np.int64) + i * BUCKETS for i, view in enumerate(views)])
 
 
 def targets_of(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
@@ -87,19 +133,15 @@ def targets_of(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
     return [(r["source"], r["w"] / total, max(0, int(r["cap"]))) for r in rows]
 
 
-def sized_documents(docs: DataFrame, with_features: bool, path: str | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens[, features]) of every document."""
+def sized_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens) of every document."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs, cache = encoder(path)
         for part in parts:
-            out = pd.DataFrame({"doc_id": part["doc_id"], "source": part["source"], "n_tokens": [len(encode(t, pairs, cache)) for t in part["text"]]})
-            if with_features:
-                out["features"] = [features(t) if t else [] for t in part["text"]]
-            yield out
+            yield pd.DataFrame({"doc_id": part["doc_id"], "source": part["source"], "n_tokens": [len(encode(t, pairs, cache)) for t in part["text"]]})
 
-    schema = "doc_id bigint, source string, n_tokens bigint" + (", features array<int>" if with_features else "")
-    return docs.select("doc_id", "source", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
 
 
 class DomainClassifier:
@@ -107,116 +149,185 @@ class DomainClassifier:
 
     def __init__(self, domains: list[str], counts: np.ndarray, documents: np.ndarray) -> None:
         self.domains = domains
+        self.temperature = 1.0
         rate = (counts + 0.1) / (documents[:, None] + 0.2)
         self.weight = np.log(rate) - np.log1p(-np.minimum(rate, 1 - 1e-9))
         self.base = np.log1p(-np.minimum(rate, 1 - 1e-9)).reshape(len(domains), len(VIEWS), BUCKETS).sum(axis=2)
-        self.base += np.log((documents + 1) / (documents.sum() + len(domains)))[:, None]
+        self.prior = np.log((documents + 1) / (documents.sum() + len(domains)))
+
+    def score(self, f: np.ndarray) -> np.ndarray:
+        score = np.zeros(len(self.domains))
+        for view, own in enumerate(np.split(f, np.searchsorted(f, [BUCKETS * v for v in range(1, len(VIEWS))]))):
+            score += VIEWS[view] * (self.base[:, view] + self.prior + self.weight[:, own].sum(axis=1)) / math.sqrt(1 + len(own))
+        return score
+
+    def posteriors(self, scores: np.ndarray) -> np.ndarray:
+        z = scores * self.temperature
+        q = np.exp(z - z.max(axis=-1, keepdims=True))
+        return q / q.sum(axis=-1, keepdims=True)
+
+    def calibrate(self, scores: np.ndarray, truth: np.ndarray) -> None:
+        """The temperature under which held-out labels are most likely."""
+        if len(scores):
 
-    def posteriors(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.empty((len(rows), len(self.domains)))
-        for i, f in enumerate(rows):
-            score = np.zeros(len(self.domains))
-            for view, own in enumerate(np.split(f, np.searchsorted(f, [BUCKETS * v for v in range(1, len(VIEWS))]))):
-                score += VIEWS[view] * (self.base[:, view] + self.weight[:, own].sum(axis=1)) / math.sqrt(1 + len(own))
-            score = np.exp(score - score.max())
-            out[i] = score / score.sum()
-        return out
+            def fit(t: float) -> float:
+                self.temperature = t
+                return float(np.log(np.maximum(self.posteriors(scores)[np.arange(len(truth)), truth], 1e-9)).sum())
 
+            self.temperature = max(TEMPERATURES, key=fit)
 
-def fit_classifier(sized: DataFrame, domains: list[str]) -> DomainClassifier:
-    """Counts over all labelled rows; at most len(domains) * (FEATURES + 1) sums reach the driver."""
+
+def fit_classifier(docs: DataFrame, domains: list[str]) -> DomainClassifier:
+    """Fitted on a bounded sample of labelled rows; at most len(domains) * (FEATURES + 1) sums and HELD_OUT rows of scores reach the driver."""
     at = {d: i for i, d in enumerate(domains)}
-    labelled = sized.where(F.col("source").isin(domains))
-    counts = np.zeros((len(domains), FEATURES))
-    for r in labelled.select("source", F.explode("features").alias("f")).groupBy("source", "f").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        counts[at[r["source"]], r["f"]] = r["n"]
-    documents = np.zeros(len(domains))
-    for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect():
-        documents[at[r["source"]]] = r["n"]
-    return DomainClassifier(domains, counts, documents)
-
-
-def rates(posteriors: np.ndarray, caps: np.ndarray, residuals: list[np.ndarray], start: float, step: float) -> np.ndarray:
-    """Document rates after the steps whose preconditioned residuals are given."""
-    r = np.minimum(caps, start)
-    for e in residuals:
-        r = np.clip(r - step * (posteriors @ e), 0.0, caps)
+    labelled = docs.select("doc_id", "source", "text").where(F.col("source").isin(domains) & (F.length("text") > 0))
+    total = labelled.count()
+    # of each document, by its id, a place in [0, 1)
+    place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
+    held = min(HELD_OUT / max(1, total), 0.25)
+    used = min(FIT_DOCUMENTS / max(1, total), 1.0 - held)
+    scored_rows = labelled.where(place < held)
+    fit_rows = labelled.where((place >= held) & (place < held + used))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(domains), FEATURES), dtype=np.int64)
+        documents = np.zeros(len(domains), dtype=np.int64)
+        for part in parts:
+            for source, text in zip(part["source"], part["text"]):
+                sums[at[source], features(text)] += 1
+                documents[at[source]] += 1
+        s, f = np.nonzero(sums)
+        own = np.flatnonzero(documents)
+        yield pd.DataFrame({"s": np.concatenate((s, own)), "f": np.concatenate((f, np.full(len(own), -1))), "n": np.concatenate((sums[s, f], documents[own]))})
+
+    counts, documents = np.zeros((len(domains), FEATURES)), np.zeros(len(domains))
+    for r in fit_rows.mapInPandas(count, "s int, f int, n bigint").groupBy("s", "f").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r["f"] < 0:
+            documents[r["s"]] = r["n"]
+        else:
+            counts[r["s"], r["f"]] = r["n"]
+    classifier = DomainClassifier(domains, counts, documents)
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"s": [at[x] for x in part["source"]], "z": [classifier.score(features(t)) for t in part["text"]]})
+
+    rows = scored_rows.mapInPandas(score, "s int, z array<double>").collect()  # about HELD_OUT
+    if rows:
+        classifier.calibrate(np.array([r["z"] for r in rows]), np.array([r["s"] for r in rows]))
+    return classifier
+
+
+def rates(posteriors: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Document rates after the given steps from 0, each projected to 0 .. cap."""
+    r = np.zeros(len(posteriors))
+    for e in steps:
+        r = np.clip(r - posteriors @ e, 0.0, caps)
     return r
 
 
-def soft_rates(docs: DataFrame, mix_targets: DataFrame, steps: int = STEPS, path: str | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, domain, posterior, rate) of every document with tokens."""
-    targets = targets_of(mix_targets)
+def soft_documents(docs: DataFrame, targets: list[tuple[str, float, int]], path: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, cap, domain, posterior, q) of every document with tokens; q in steps of 1 / GRID."""
     domains = [t[0] for t in targets]
-    share = np.array([t[1] for t in targets])
-    cap = np.array([t[2] for t in targets], dtype=float)
-    schema = "doc_id bigint, source string, n_tokens bigint, domain string, posterior double, rate double"
-    if not domains:
-        return docs.sparkSession.createDataFrame([], schema)
-    sized = cut_lineage(sized_documents(docs, True, path).where("n_tokens > 0"))
-    classifier = fit_classifier(sized, domains)
+    caps = {t[0]: float(t[2]) for t in targets}
+    classifier = fit_classifier(docs, domains)
 
     def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, cache = encoder(path)
         for part in parts:
-            q = classifier.posteriors([np.asarray(f, dtype=np.int64) for f in part["features"]])
-            yield part[["doc_id", "source", "n_tokens"]].assign(q=list(q))
+            part = part.assign(n_tokens=[len(encode(t, pairs, cache)) for t in part["text"]])
+            part = part[part["n_tokens"] > 0]
+            if len(part):
+                q = classifier.posteriors(np.stack([classifier.score(features(t)) for t in part["text"]]))
+                steps = np.floor(q * GRID)
+                best = q.argmax(axis=1)
+                steps[np.arange(len(q)), best] += GRID - steps.sum(axis=1)  # the steps of a document sum to GRID
+                yield part[["doc_id", "source", "n_tokens"]].assign(
+                    cap=[caps.get(s, 0.0) for s in part["source"]], domain=[domains[i] for i in best], posterior=np.round(q.max(axis=1), 6), q=list(steps.astype(np.int32))
+                )
 
-    soft = cut_lineage(sized.mapInPandas(predict, "doc_id bigint, source string, n_tokens bigint, q array<double>"))
-    n = len(domains)
-    have = np.zeros(n)
-    gram = np.zeros((n, n))
+    schema = "doc_id bigint, source string, n_tokens bigint, cap double, domain string, posterior double, q array<int>"
+    return cut_lineage(docs.select("doc_id", "source", "text").mapInPandas(predict, schema))
 
-    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((n, n))
-        for part in parts:
-            if len(part):
-                q = np.stack(part["q"].to_numpy())
-                sums += (q * part["n_tokens"].to_numpy()[:, None]).T @ q
-        yield pd.DataFrame({"s": np.repeat(np.arange(n), n), "u": np.tile(np.arange(n), n), "t": sums.ravel()})
-
-    for r in soft.select("n_tokens", "q").mapInPandas(products, "s int, u int, t double").groupBy("s", "u").agg(F.sum("t").alias("t")).collect():
-        gram[r["s"], r["u"]] = r["t"]
-    for r in soft.select("n_tokens", F.posexplode("q").alias("s", "q")).groupBy("s").agg(F.sum(F.col("q") * F.col("n_tokens")).alias("t")).collect():
-        have[r["s"]] = r["t"]
-    usable = have > 0
-    goal = share * usable / max(1e-12, (share * usable).sum())
-    most = gram @ cap  # expected tokens of each domain with every document at its cap
-    total = min([most[i] / goal[i] for i in range(n) if goal[i] > 0], default=0.0)
-    want = goal * total
-    # gradients are taken in the metric of the documents' sizes, preconditioned by the domains' products
-    inverse = np.linalg.pinv(gram + 1e-6 * max(1.0, np.trace(gram) / n) * np.eye(n))
-    start, step = total / max(1.0, have.sum()), 0.8
-    residuals: list[np.ndarray] = []
-    for _ in range(steps):
-        known = list(residuals)
-
-        def totals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros(n)
+
+def fit_rates(soft: DataFrame, targets: list[tuple[str, float, int]]) -> tuple[list[np.ndarray], float]:
+    """(steps, error as a share of the total) of the rates of ``soft``."""
+    n = len(targets)
+    share = np.array([t[1] for t in targets])
+    kinds = cut_lineage(soft.where("cap > 0").groupBy("q", "cap").agg(F.sum("n_tokens").alias("t")))
+
+    def measured(known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain, and the products of the posteriors whose rates are free."""
+
+        def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            totals, free = np.zeros(n), np.zeros((n, n))
             for part in parts:
                 if len(part):
-                    q = np.stack(part["q"].to_numpy())
-                    sums += (rates(q, q @ cap, known, start, step) * part["n_tokens"].to_numpy()) @ q
-            yield pd.DataFrame({"s": np.arange(n), "t": sums})
-
-        reached = np.zeros(n)
-        for r in soft.select("n_tokens", "q").mapInPandas(totals, "s int, t double").groupBy("s").agg(F.sum("t").alias("t")).collect():
-            reached[r["s"]] = r["t"]
-        if total and np.abs(reached - want).max() < 1e-4 * total:
-            break
-        residuals.append(inverse @ (reached - want))
-    fitted = list(residuals)
+                    q, cap, t = np.stack(part["q"].to_numpy()) / GRID, part["cap"].to_numpy(), part["t"].to_numpy()
+                    r = rates(q, cap, known)
+                    totals += (r * t) @ q
+                    open_ = (r > 0) & (r < cap)
+                    free += (q[open_] * t[open_, None]).T @ q[open_]
+            yield pd.DataFrame({"i": np.arange(n * n + n), "v": np.concatenate((totals, free.ravel()))})
+
+        out = np.zeros(n * n + n)
+        for r in kinds.mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r["i"]] = r["v"]
+        return out[:n], out[n:].reshape(n, n)
+
+    most, _ = measured([np.full(n, -1e12)])  # with every document at its cap
+    usable = most > 0
+    goal = share * usable / max(1e-12, (share * usable).sum())
+    total = min([most[i] / goal[i] for i in range(n) if goal[i] > 0], default=0.0)
+    if not total:
+        return [], 0.0
+    have, _ = measured([np.full(n, -1e-3)])  # a thousandth of every document
+    best: tuple[list[np.ndarray], float] = ([], math.inf)
+    for _ in range(LOWERINGS + 1):
+        want = goal * total
+        steps = [-np.where(have > 0, 1e-3 * want / np.maximum(have, 1e-12), 0.0)]  # each domain at its own rate
+        for _ in range(STEPS):
+            reached, free = measured(steps)
+            error = float(np.abs(reached - want).max() / total)
+            if error < best[1]:
+                best = (list(steps), error)
+            if error < TOLERANCE:
+                return list(steps), error
+            ridge = 1e-9 * max(1.0, float(np.trace(free)) / n)
+            steps.append(np.linalg.solve(free + ridge * np.eye(n), reached - want))
+        total *= LOWER
+    return best
+
+
+def soft_rates(docs: DataFrame, mix_targets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, source, n_tokens, domain, posterior, rate) of every document with tokens, report of the shares).
+
+    The report (source, target_share, expected_share, actual_share, fit_error) sets the targets beside the
+    shares of the expected totals by posterior and of the real totals by source.
+    """
+    spark = docs.sparkSession
+    targets = targets_of(mix_targets)
+    schema = "doc_id bigint, source string, n_tokens bigint, domain string, posterior double, rate double"
+    if not targets:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "source string, target_share double, expected_share double, actual_share double, fit_error double")
+    soft = soft_documents(docs, targets, path)
+    steps, error = fit_rates(soft, targets)
+    domains = [t[0] for t in targets]
 
     def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if not len(part):
-                continue
-            q = np.stack(part["q"].to_numpy())
-            best = q.argmax(axis=1)
-            yield part[["doc_id", "source", "n_tokens"]].assign(
-                domain=[domains[i] for i in best], posterior=np.round(q.max(axis=1), 6), rate=np.round(rates(q, q @ cap, fitted, start, step), 6)
-            )
+            if len(part):
+                q = np.stack(part["q"].to_numpy()) / GRID
+                yield part[["doc_id", "source", "n_tokens", "domain", "posterior", "q"]].assign(rate=np.round(rates(q, part["cap"].to_numpy(), steps), 6))
 
-    return soft.mapInPandas(apply, schema)
+    rated = soft.mapInPandas(apply, schema.replace("rate double", "q array<int>, rate double"))
+    weighed = rated.where("rate > 0").select("source", "q", (F.col("rate") * F.col("n_tokens")).alias("t"))
+    by_source = {r["source"]: r["t"] for r in weighed.groupBy("source").agg(F.sum("t").alias("t")).collect()}
+    by_domain = {r["i"]: r["t"] for r in weighed.select("t", F.posexplode("q").alias("i", "w")).groupBy("i").agg((F.sum(F.col("t") * F.col("w")) / GRID).alias("t")).collect()}
+    whole = sum(by_source.values()) or 1.0
+    report = [(s, w, round(by_domain.get(i, 0.0) / whole, 6), round(by_source.get(s, 0.0) / whole, 6), error) for i, (s, w, _) in enumerate(targets)]
+    columns = "source string, target_share double, expected_share double, actual_share double, fit_error double"
+    return rated.drop("q"), spark.createDataFrame(report, columns)
 
 
 def hard_mix(docs: DataFrame, mix_targets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +335,7 @@ def hard_mix(docs: DataFrame, mix_targets: DataFrame, path: str | None = None) -
     spark = docs.sparkSession
     targets = targets_of(mix_targets)
     domains = [t[0] for t in targets]
-    sized = cut_lineage(sized_documents(docs.where(F.col("source").isin(domains)), False, path).where("n_tokens > 0"))
+    sized = cut_lineage(sized_documents(docs.where(F.col("source").isin(domains)), path).where("n_tokens > 0"))
     bucket = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(HASH_BUCKETS)).cast("int")
     sized = sized.withColumn("bucket", bucket)
     sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))

@@ -202,7 +202,12 @@ def p7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_method(spark: SparkSession, folder: str) -> DataFrame:
     """Rates of all documents by soft membership: posteriors of a classifier and projected gradients."""
-    return mixing.soft_rates(read_spread(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))
+    return mixing.soft_rates(read_spread(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[0]
+
+
+def p8_soft_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target, expected and real share of each source under the rates of ``p8_method``."""
+    return mixing.soft_rates(read_spread(spark, folder, "documents", "doc_id", "source", "text"), read_table(spark, folder, "mix_targets"))[1]
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +243,7 @@ QUERIES = {
     for f in (
         p1_method, p1_found, p1_clean_text, p2_found, p2_labels, p3_found, p3_label_shares, p3_statistics,
         p4_method, p4_found, p4_shares, p5_method, p5_found, p5_main_text,
-        p7_ids, p7_token_counts, p8_method, p8_mix, p8_shares, p9_found, p9_classes, p9_forms,
+        p7_ids, p7_token_counts, p8_method, p8_soft_shares, p8_mix, p8_shares, p9_found, p9_classes, p9_forms,
     )
 }
 ORACLE_SQL = {"p3_statistics": _P3_STATISTICS}

@@ -103,20 +103,34 @@ def test_mix_reaches_the_targets_within_the_caps(spark):
     for r in report.collect():
         assert abs(r["actual_share"] - r["target_share"]) < 0.01 and r["most_copies"] <= r["max_repeats"]
     assert used.where("source IS NULL").count() == 0 and used.groupBy("doc_id").count().where("count > 1").count() == 0
-    soft = mixing.soft_rates(docs, targets)
+    soft, shares = mixing.soft_rates(docs, targets)
     assert soft.count() == 601 and soft.agg(F.min("rate")).collect()[0][0] >= 0
 
 
+def test_soft_mix_stays_within_the_caps_of_each_documents_source(spark):
+    shapes = {"log": "2025-01-0{0} INFO x{0}\n2025-01-0{0} WARN y", "doc": "# Title {0}\n\nSome words here.", "chat": "user{0} wrote:\nhello there", "none": "key={0}; key={0}"}
+    docs = spark.createDataFrame([(i, t.format(i % 9), s) for i, (s, t) in enumerate(list(shapes.items()) * 90)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("log", 0.6, 2), ("doc", 0.3, 1), ("chat", 0.1, 1)], "source string, target_share double, max_repeats int")
+    soft, shares = mixing.soft_rates(docs, targets)
+    most = {"log": 2.0, "doc": 1.0, "chat": 1.0, "none": 0.0}
+    assert all(0 <= r["rate"] <= most[r["source"]] for r in soft.collect())
+    for r in shares.collect():
+        assert r["fit_error"] < mixing.TOLERANCE and abs(r["expected_share"] - r["target_share"]) < 0.002 and abs(r["actual_share"] - r["target_share"]) < 0.02
+    # posteriors that cannot tell the domains apart cannot reach the targets: the report says so
+    same = spark.createDataFrame([(i, "same", "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, source string")
+    two = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    assert all(r["fit_error"] > mixing.TOLERANCE for r in mixing.soft_rates(same, two)[1].collect())
+
+
 def test_classifier_holds_out(spark):
     shapes = {"log": "2025-01-0{0} INFO x{0}\n2025-01-0{0} WARN y", "doc": "# Title {0}\n\nSome words here.", "chat": "user{0} wrote:\nhello there"}
     rows_ = [(i, t.format(i % 9), s) for i, (s, t) in enumerate(list(shapes.items()) * 60)]
     docs = spark.createDataFrame(rows_, "doc_id bigint, text string, source string")
-    train = mixing.sized_documents(docs.where("doc_id % 4 <> 0"), True)
-    model = mixing.fit_classifier(train, sorted(shapes))
-    test = [(f, s) for _, t, s in rows_[::4] for f in [mixing.features(t)]]
+    model = mixing.fit_classifier(docs.where("doc_id % 4 <> 0"), sorted(shapes))
+    test = [(mixing.features(t), s) for _, t, s in rows_[::4]]
     import numpy as np
 
-    guess = model.posteriors([np.asarray(f, dtype=int) for f, _ in test]).argmax(axis=1)
+    guess = model.posteriors(np.stack([model.score(f) for f, _ in test])).argmax(axis=1)
     assert np.mean([model.domains[g] == s for g, (_, s) in zip(guess, test)]) > 0.95
 
 
