@@ -21,8 +21,8 @@ def _line_model(spark: SparkSession, folder: str) -> quality.LineModel:
 
 
 def p1_method(spark: SparkSession, folder: str) -> DataFrame:
-    """A wrapper for each host, inferred from the token streams of its pages."""
-    return wrappers.infer_wrappers(read_spread(spark, folder, "fixture_docs", "url", "html"))
+    """Wrappers of each host, inferred from the token streams of its pages, fragments, Markdown texts and headings."""
+    return wrappers.infer_wrappers(read_spread(spark, folder, "fixture_docs", "url", "html", "markdown", "headings"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

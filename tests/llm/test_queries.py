@@ -178,11 +178,26 @@ def test_fitted_line_model_keeps_the_labels(spark):
     assert abs(sum(model.start) - 1) < 1e-9 and all(abs(sum(r) - 1) < 1e-9 for r in model.move)
 
 
+FIELDS = "url string, html string, markdown string, headings array<struct<level:int,text:string>>"
+
+
 def test_wrappers_of_a_hot_host(spark):
-    pages = spark.createDataFrame([(f"http://h.test/{i}", f"<html><body><nav>m</nav><p>t{i}</p></body></html>") for i in range(300)], "url string, html string").repartition(8)
-    got = wrappers.infer_wrappers(pages).collect()
-    assert [(r["host"], r["n_pages"], r["n_slots"]) for r in got] == [("h.test", 300, 1)]
-    assert got[0]["wrapper"] == '<html><body><nav>"m"</nav><p>SLOT</p></body></html>'
+    pages = [(f"http://h.test/{i}", f"<html><body><nav>m</nav><p>t{i}</p>" + "<p>x</p>" * (i % 3) + "</body></html>", f"# T{i}\n\n- a\n- b", [(1, f"T{i}")]) for i in range(300)]
+    odd = [("::", "<body>lost</body>", None, None), (None, None, "lost", []), ("http://h.test/x", None, "", None), ("http://g.test/x", "<p>one", None, [(None, None)])]
+    df = spark.createDataFrame(pages + pages[:50] + odd, FIELDS)
+    for parts in (1, 3, 8):
+        got = {(r["host"], r["form"]): (r["n_streams"], r["wrapper"]) for r in wrappers.infer_wrappers(df.repartition(parts)).collect()}
+        assert got == {
+            ("h.test", "page"): (300, '<html><body><nav>"m"</nav>(<p>SLOT</p>)+</body></html>'), ("h.test", "markdown"): (300, "<#>SLOT</#>(<->SLOT</->)+"),
+            ("h.test", "headings"): (300, "<h1>SLOT</h1>"), ("g.test", "fragment"): (1, '<p>"one"</p>'), ("g.test", "headings"): (1, "<h></h>"),
+            (None, "page"): (1, None), (None, "markdown"): (1, None),
+        }
+
+
+def test_wrappers_read_whole_pages_at_any_depth(spark):
+    deep = [(f"http://h.test/{i}", "<body>" + "<div>" * 3000 + "w" * 500 + str(i), None, None) for i in range(2)]
+    got = wrappers.infer_wrappers(spark.createDataFrame(deep, FIELDS)).first()
+    assert got["wrapper"].count("<div>") == 3000 and got["n_slots"] == 1
 
 
 def test_terms_of_every_page_are_counted(spark):

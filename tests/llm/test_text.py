@@ -250,6 +250,42 @@ def test_wrappers():
     assert wrappers.as_expression(wrapper) == '<ul>(<li>SLOT</li>)+</ul><h1>SLOT</h1>(<p>"x"</p>)+(<aside>"q"</aside>)?'
 
 
+TAGS = st.lists(st.sampled_from("a b c d".split()), max_size=9)
+
+
+@given(TAGS, TAGS)
+def test_alignment_keeps_a_longest_common_subsequence(a, b):
+    item = lambda tag: wrappers._item(wrappers.ELEMENT, tag, None, [])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(wrappers, "fold", lambda items: items)
+        out = wrappers.align([item(t) for t in a], [item(t) for t in b])
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert len([x for x in out if not x[4]]) == best[-1][-1] and len(out) == len(a) + len(b) - best[-1][-1]
+
+
+@given(st.recursive(st.just("x"), lambda kids: st.lists(kids, max_size=4), max_leaves=20))
+def test_packed_items_come_back(tree):
+    build = lambda t: wrappers._item("e", "k", None, [build(k) for k in t]) if isinstance(t, list) else wrappers._item("t", "#", t, [])
+    items = [build(tree)]
+    assert wrappers.unpacked(wrappers.packed(items)) == items
+
+
+def test_a_wrapper_does_not_grow_with_its_streams():
+    import random
+
+    random.seed(2)
+    wrapper = None
+    sizes = []
+    for n in range(200):
+        items = wrappers.fold([wrappers._item("e", random.choice("pqrstuv"), None, []) for _ in range(40)])
+        wrapper = items if wrapper is None else wrappers.align(wrapper, items)
+        sizes.append(len(wrappers.as_expression(wrapper)))
+    assert sizes[-1] <= 2 * max(sizes[:20])
+
+
 def test_features_read_the_whole_text():
     same = "The report of the week begins with the same words "
     a, b = (mixing.features(same + end) for end in ("and goes on about iron and coal.", "and goes on about milk and corn."))
