@@ -6,10 +6,12 @@ the lines of a document; characters by label give the document's label shares.
 natural prose when the lines labelled prose hold less than ``PROSE_SHARE`` of the characters; a
 message (``one_is_enough``) is prose as soon as one of its sentences is.
 
-``fit_line_model`` re-estimates the model over all documents: every document is decoded with the
-current model, state, emission and transition counts are added up by Spark (a table whose size does
-not depend on the data), and smoothed with ``PRIOR_WEIGHT`` observations of the starting model, so
-that labels keep their meaning.
+``fit_line_model`` fits the model over all documents, on the lines that are judged later: Baum-Welch
+rounds with the posterior (forward-backward) counts of states, emissions and transitions, from the
+starting model ``_START`` that gives the states their meaning, until the likelihood rests.  Texts are
+read once, into sequences of line codes; equal sequences are counted together, so a round is a pass
+over the different sequences, and its sums have a size that does not depend on the data.
+``PRIOR_WEIGHT`` observations of the starting model keep small tables from being overfitted.
 
 Defined results: NULL, empty and blank texts are no cases and have NULL shares; code blocks and
 formulas count with the lines around them only where nothing else is left; front matter and
@@ -22,19 +24,26 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagegauge.session import cut_lineage
+
 STATES = ("prose", "list", "table", "junk")
 PROSE_SHARE = 0.5
-PRIOR_WEIGHT = 20000.0
+PRIOR_WEIGHT = 200.0
+#: the rounds end when the log-likelihood of a line rises by less than REST, or after ROUNDS
+ROUNDS, REST = 12, 1e-3
+IMPOSSIBLE = 1e-12
 #: values of each statistic: common words, final mark, words, symbols, shape, first letter
 SIZES = (5, 2, 4, 4, 3, 2)
 
-#: starting probabilities of each statistic's values, by state
+#: starting probabilities of each statistic's values, by state; what is 0 stays 0 in the fit: a sentence of eight
+#: words or more has some common words, and others
 _START = {
-    "prose": ((0.02, 0.06, 0.9198, 0.0001, 0.0001), (0.25, 0.75), (0.02, 0.06, 0.22, 0.70), (0.80, 0.17, 0.025, 0.005), (0.90, 0.08, 0.02), (0.15, 0.85)),
+    "prose": ((0.02, 0.06, 0.92, 0.0, 0.0), (0.25, 0.75), (0.02, 0.06, 0.22, 0.70), (0.80, 0.17, 0.025, 0.005), (0.90, 0.08, 0.02), (0.15, 0.85)),
     "list": ((0.75, 0.15, 0.045, 0.005, 0.05), (0.97, 0.03), (0.30, 0.50, 0.17, 0.03), (0.40, 0.30, 0.25, 0.05), (0.35, 0.63, 0.02), (0.75, 0.25)),
     "table": ((0.78, 0.08, 0.03, 0.01, 0.10), (0.97, 0.03), (0.35, 0.35, 0.20, 0.10), (0.10, 0.25, 0.35, 0.30), (0.13, 0.02, 0.85), (0.70, 0.30)),
     "junk": ((0.36, 0.15, 0.03, 0.16, 0.30), (0.85, 0.15), (0.25, 0.25, 0.20, 0.30), (0.25, 0.15, 0.25, 0.35), (0.70, 0.05, 0.25), (0.75, 0.25)),
@@ -69,7 +78,7 @@ class LineModel:
         self.start = start or [0.55, 0.15, 0.15, 0.15]
         self.move = move or [[_STAY if i == j else (1 - _STAY) / (n - 1) for j in range(n)] for i in range(n)]
         self.emit = emit or [[list(f) for f in _START[s]] for s in STATES]
-        log = lambda p: math.log(max(p, 1e-9))
+        log = lambda p: math.log(max(p, IMPOSSIBLE))
         self._start = [log(p) for p in self.start]
         self._move = [[log(p) for p in row] for row in self.move]
         self._emit = [[[log(p) for p in f] for f in s] for s in self.emit]
@@ -144,8 +153,8 @@ def text_lines(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip()]
 
 
-def label_characters(text: str, model: LineModel, sentences: bool = False) -> list[int]:
-    """Characters by state of ``STATES``."""
+def judged_lines(text: str, sentences: bool = False) -> list[str]:
+    """The lines of a text as the model sees them; with ``sentences`` a line for each."""
     lines = text_lines(text)
     if sentences:
         lines = [p for x in lines for p in _SENTENCE.split(x) if p.strip()]
@@ -154,8 +163,14 @@ def label_characters(text: str, model: LineModel, sentences: bool = False) -> li
         y = _LATEX.sub("", x) if "\\" in x else x
         z = _LINK.sub(r"\1", y) if "](" in y and not _BULLET_LINK.match(_MARKER.sub("", y).strip()) else y
         cleaned.append(z if z.strip() else x)
+    return cleaned
+
+
+def label_characters(text: str, model: LineModel, sentences: bool = False) -> list[int]:
+    """Characters by state of ``STATES``."""
+    lines = judged_lines(text, sentences)
     totals = [0] * len(STATES)
-    for line, state in zip(cleaned, model.decode([line_statistics(x, model.common) for x in cleaned])):
+    for line, state in zip(lines, model.decode([line_statistics(x, model.common) for x in lines])):
         totals[state] += len(line.strip())
     return totals
 
@@ -174,50 +189,133 @@ def load_common_words(words: DataFrame) -> frozenset[str]:
     return frozenset(r["word"].lower() for r in words.select("word").where(F.col("word").isNotNull()).distinct().collect())
 
 
-def fit_line_model(texts: DataFrame, common: frozenset[str], rounds: int = 1, prior_weight: float = PRIOR_WEIGHT) -> LineModel:
-    """Re-estimate the model over all rows of ``texts`` (column ``text``)."""
+N_CODES = math.prod(SIZES)
+_VALUES = np.stack(np.unravel_index(np.arange(N_CODES), SIZES), axis=1)
+
+
+def line_codes(lines: list[str], common: frozenset[str]) -> list[int]:
+    """Each line's statistics as one number."""
+    out = []
+    for line in lines:
+        code = 0
+        for value, size in zip(line_statistics(line, common), SIZES):
+            code = code * size + value
+        out.append(code)
+    return out
+
+
+def posterior_counts(sequences: list[np.ndarray], weights: np.ndarray, model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of first states, transitions and (code, state), and the log-likelihood, by forward-backward over all sequences at once."""
+    n = len(STATES)
+    start, move = np.array(model.start), np.array(model.move)
+    emit = np.ones((N_CODES, n))
+    for s in range(n):
+        for f in range(len(SIZES)):
+            emit[:, s] *= np.maximum(np.array(model.emit[s][f]), IMPOSSIBLE)[_VALUES[:, f]]
+    firsts, moves, codes, likelihood = np.zeros(n), np.zeros((n, n)), np.zeros((N_CODES, n)), 0.0
+    order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+    at = 0
+    while at < len(order):
+        # sequences of like lengths side by side; a batch holds a bounded number of lines, or one sequence
+        end = at + 1
+        while end < len(order) and (end - at + 1) * len(sequences[order[end]]) <= 200_000:
+            end += 1
+        batch = [sequences[i] for i in order[at:end]]
+        w = weights[order[at:end]]
+        at = end
+        lengths = np.array([len(x) for x in batch])
+        steps = int(lengths[-1])
+        seen = np.zeros((len(batch), steps), dtype=np.int64)
+        for i, x in enumerate(batch):
+            seen[i, : len(x)] = x
+        e = emit[seen]
+        alive = np.arange(steps)[None, :] < lengths[:, None]
+        e[~alive] = 1.0
+        alpha, scale = np.empty_like(e), np.empty((len(batch), steps))
+        for t in range(steps):
+            a = start * e[:, t] if t == 0 else (alpha[:, t - 1] @ move) * e[:, t]
+            scale[:, t] = a.sum(axis=1)
+            alpha[:, t] = a / scale[:, t, None]
+        likelihood += float((np.log(scale) * alive * w[:, None]).sum())
+        beta = np.ones((len(batch), n))
+        for t in range(steps - 1, -1, -1):
+            here = alive[:, t]
+            gamma = alpha[:, t] * beta
+            gamma *= (here * w / gamma.sum(axis=1))[:, None]
+            for s in range(n):
+                codes[:, s] += np.bincount(seen[:, t], gamma[:, s], N_CODES)
+            if t == 0:
+                firsts += gamma.sum(axis=0)
+            else:
+                ahead = e[:, t] * beta / scale[:, t, None]
+                moves += (alpha[:, t - 1] * (here * w)[:, None]).T @ ahead * move
+                back = ahead @ move.T
+                beta = np.where(here[:, None], back, 1.0)
+    return firsts, moves, codes, likelihood
+
+
+def code_sequences(texts: DataFrame, common: frozenset[str]) -> DataFrame:
+    """(codes, n) of the different sequences of line codes of the rows (src_table, text)."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            counts: dict[tuple, int] = {}
+            for src, text in zip(part["src_table"], part["text"]):
+                codes = tuple(line_codes(judged_lines(text, src == "issues"), common))
+                counts[codes] = counts.get(codes, 0) + 1
+            yield pd.DataFrame({"codes": [list(c) for c in counts], "n": list(counts.values())})
+
+    rows = texts.select("src_table", "text").where(F.length(F.trim("text")) > 0)
+    return rows.mapInPandas(read, "codes array<smallint>, n bigint").where(F.size("codes") > 0).groupBy("codes").agg(F.sum("n").alias("n"))
+
+
+def re_estimated(model: LineModel, firsts: np.ndarray, moves: np.ndarray, codes: np.ndarray, prior_weight: float) -> LineModel:
+    """The model of these counts and ``prior_weight`` observations of the starting model for each distribution."""
+    base = LineModel(model.common)
+
+    def smoothed(counts: np.ndarray, prior: list[float]) -> list[float]:
+        counts = counts * (np.array(prior) > 0)
+        return ((counts + prior_weight * np.array(prior)) / (counts.sum() + prior_weight)).tolist()
+
+    states, features = range(len(STATES)), range(len(SIZES))
+    return LineModel(
+        model.common, smoothed(firsts, base.start), [smoothed(moves[s], base.move[s]) for s in states],
+        [[smoothed(np.bincount(_VALUES[:, f], codes[:, s], SIZES[f]), base.emit[s][f]) for f in features] for s in states],
+    )
+
+
+def fit_line_model(texts: DataFrame, common: frozenset[str], rounds: int = ROUNDS, prior_weight: float = PRIOR_WEIGHT) -> LineModel:
+    """The model fitted over all rows of ``texts`` (columns ``src_table``, ``text``)."""
+    sequences = cut_lineage(code_sequences(texts, common))
     model = LineModel(common)
-    width = max(SIZES)
+    n = len(STATES)
+    size = n + n * n + N_CODES * n + 2
+    before = -math.inf
     for _ in range(rounds):
         current = model
 
         def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            totals: dict[tuple[int, int, int, int], int] = {}
+            sums = np.zeros(size)
             for part in parts:
-                for text in part["text"]:
-                    seen = [line_statistics(x, current.common) for x in text_lines(text)]
-                    path = current.decode(seen)
-                    for at, (state, values) in enumerate(zip(path, seen)):
-                        for f, v in enumerate(values):
-                            key = (0, state, f, v)
-                            totals[key] = totals.get(key, 0) + 1
-                        key = (1, state, path[at - 1], 0) if at else (2, state, 0, 0)
-                        totals[key] = totals.get(key, 0) + 1
-            yield pd.DataFrame([(*k, v) for k, v in totals.items()], columns=["what", "state", "a", "b", "n"])
-
-        counted = (
-            texts.select("text")
-            .where(F.length(F.trim("text")) > 0)
-            .mapInPandas(count, "what int, state int, a int, b int, n bigint")
-            .groupBy("what", "state", "a", "b")
-            .agg(F.sum("n").alias("n"))
-        )
-        got = {(r["what"], r["state"], r["a"], r["b"]): r["n"] for r in counted.collect()}  # at most 4 * (6 * width + 5) rows
-        assert len(got) <= len(STATES) * (len(SIZES) * width + len(STATES) + 1)
-        w = prior_weight
-
-        def smoothed(counts: list[int], prior: list[float]) -> list[float]:
-            total = sum(counts)
-            return [(c + w * p) / (total + w) for c, p in zip(counts, prior)]
-
-        base = LineModel(common)
-        states = range(len(STATES))
-        model = LineModel(
-            common,
-            smoothed([got.get((2, s, 0, 0), 0) for s in states], base.start),
-            [smoothed([got.get((1, j, i, 0), 0) for j in states], base.move[i]) for i in states],
-            [[smoothed([got.get((0, s, f, v), 0) for v in range(size)], base.emit[s][f]) for f, size in enumerate(SIZES)] for s in states],
-        )
+                if len(part):
+                    found = [np.asarray(x, dtype=np.int64) for x in part["codes"]]
+                    weights = part["n"].to_numpy(dtype=float)
+                    firsts, moves, codes, likelihood = posterior_counts(found, weights, current)
+                    lines = float((weights * [len(x) for x in found]).sum())
+                    sums += np.concatenate((firsts, moves.ravel(), codes.ravel(), [likelihood, lines]))
+            at = np.flatnonzero(sums)
+            yield pd.DataFrame({"i": at, "v": sums[at]})
+
+        got = np.zeros(size)
+        for r in sequences.mapInPandas(count, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # at most size rows
+            got[r["i"]] = r["v"]
+        if not got[-1]:
+            break
+        model = re_estimated(model, got[:n], got[n : n + n * n].reshape(n, n), got[n + n * n : -2].reshape(N_CODES, n), prior_weight)
+        now = got[-2] / got[-1]
+        if now - before < REST:
+            break
+        before = now
     return model
 
 

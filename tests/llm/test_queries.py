@@ -86,6 +86,25 @@ def test_markdown_is_left_out_by_the_model_of_p3(spark, folder, monkeypatch):
     assert "markdown" not in {r[1] for r in run("p4_shares")}
 
 
+def test_the_fitted_line_model_explains_other_texts_better(spark):
+    import numpy as np
+
+    common = frozenset("the a of and is to in on for with it was that this".split())
+    prose = [f"The garden of house {i} is open to the town. It was closed in the winter of the year {i}.\nThis is a note on it." for i in range(40)]
+    tables = [f"a{i} | b{i} | {i}\nc{i} | d{i} | {i + 1}" for i in range(40)]
+    salad = ["Iron green seven walk lamp river often blue stone table."] * 3
+    texts = [("fixture_docs", t) for t in (prose + tables + salad)]
+    fit = lambda rows_: quality.fit_line_model(spark.createDataFrame(rows_, "src_table string, text string"), common)
+    one, held = texts[::2], texts[1::2]
+    sequences = [np.array(quality.line_codes(quality.judged_lines(t), common)) for _, t in held]
+    value = lambda model: quality.posterior_counts(sequences, np.ones(len(sequences)), model)[3]
+    fitted = fit(one)
+    assert value(fitted) > value(quality.LineModel(common)) + 20
+    assert fitted.emit[0][0][3:] == [0.0, 0.0] and all(abs(sum(f) - 1) < 1e-9 for s in fitted.emit for f in s)
+    assert [quality.is_not_prose(t, fitted) for t in (prose[1], tables[1], salad[0])] == [False, True, True]
+    assert fit(one * 2).emit != fitted.emit and fit([]).emit == quality.LineModel(common).emit
+
+
 def test_look_alike_pairs_against_brute_force(spark):
     texts = ["cop", "сор", "cоp", "cop", "Cop", "c op", "cop​", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("form", F.lit(1))

@@ -118,6 +118,32 @@ def test_prose(text, case):
     assert quality.is_not_prose(text, MODEL) is case
 
 
+def test_posterior_counts_against_all_paths():
+    import itertools
+    import math
+
+    import numpy as np
+
+    sequences = [np.array(x) for x in ([3, 500, 17], [800], [3, 3, 900, 41, 5], [500, 17])]
+    weights = np.array([2.0, 1.0, 3.0, 1.0])
+    n = len(quality.STATES)
+    values = lambda c: [int(v) for v in np.unravel_index(c, quality.SIZES)]
+    emit = lambda s, c: math.prod(max(MODEL.emit[s][f][v], quality.IMPOSSIBLE) for f, v in enumerate(values(c)))
+    firsts, moves, codes, likelihood = np.zeros(n), np.zeros((n, n)), np.zeros((quality.N_CODES, n)), 0.0
+    for x, w in zip(sequences, weights):
+        paths = {p: MODEL.start[p[0]] * math.prod(MODEL.move[a][b] for a, b in zip(p, p[1:])) * math.prod(emit(s, c) for s, c in zip(p, x)) for p in itertools.product(range(n), repeat=len(x))}
+        total = sum(paths.values())
+        likelihood += w * math.log(total)
+        for p, v in paths.items():
+            firsts[p[0]] += w * v / total
+            for a, b in zip(p, p[1:]):
+                moves[a, b] += w * v / total
+            for s, c in zip(p, x):
+                codes[c, s] += w * v / total
+    got = quality.posterior_counts(sequences, weights, MODEL)
+    assert np.allclose(got[0], firsts) and np.allclose(got[1], moves) and np.allclose(got[2], codes) and abs(got[3] - likelihood) < 1e-9
+
+
 def test_one_sentence_is_enough_for_a_message():
     assert not quality.is_not_prose("The page is closed to the team of readers today.\nkey=1; k=2", MODEL, True)
     assert quality.is_not_prose("h1 + h2 > a[href] > ul li", MODEL, True)
