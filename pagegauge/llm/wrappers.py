@@ -307,6 +307,7 @@ def token_streams(docs: DataFrame) -> DataFrame:
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
+            without: dict[str, int] = {}  # fields without a host are counted only
             with DeepCalls():
                 for url, html, markdown, headings in zip(part["url"], part["html"], part["markdown"], part["headings"]):
                     host = host_of(url)
@@ -319,13 +320,14 @@ def token_streams(docs: DataFrame) -> DataFrame:
                         found.append(("headings", heading_items, [(_level(h["level"]), h["text"]) for h in headings if h is not None]))
                     for form, read_items, value in found:
                         if host is None:
-                            rows.append((None, form, 0, 1, None))
+                            without[form] = without.get(form, 0) + 1
                             continue
                         items = read_items(parse(value) if form in ("page", "fragment") else value)
                         if items:
                             data = packed(items)
                             text = value if isinstance(value, str) else repr(value)
                             rows.append((host, form, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), 1, data))
+            rows.extend((None, form, 0, n, None) for form, n in without.items())
             yield pd.DataFrame(rows, columns=["host", "form", "h", "n", "items"])
 
     return docs.select("url", "html", "markdown", "headings").mapInPandas(read, _STREAM)
@@ -339,39 +341,44 @@ def _folded(streams: DataFrame, bits: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key: tuple | None = None
         last, first, n, wrapper = None, 0, 0, []
+
+        def folded() -> tuple:
+            return key[0], key[1], first, n, None if key[0] is None else packed(wrapper)
+
         for part in parts:
             out = []
             with DeepCalls():
                 for host, form, h, count, data, span in zip(part["host"], part["form"], part["h"], part["n"], part["items"], part["range"]):
                     if (host, form, span) != key:
                         if key is not None:
-                            out.append((key[0], key[1], first, n, packed(wrapper)))
-                        key, last, first, n, wrapper = (host, form, span), h, h, count, unpacked(data)
+                            out.append(folded())
+                        key, last, first, n = (host, form, span), h, h, count
+                        wrapper = unpacked(data) if data is not None else []
+                    elif data is None:
+                        n += count
                     elif h != last:
                         last, n, wrapper = h, n + count, align(wrapper, unpacked(data))
             yield pd.DataFrame(out, columns=["host", "form", "h", "n", "items"])
         if key is not None:
             with DeepCalls():
-                yield pd.DataFrame([(key[0], key[1], first, n, packed(wrapper))], columns=["host", "form", "h", "n", "items"])
+                yield pd.DataFrame([folded()], columns=["host", "form", "h", "n", "items"])
 
     return rows.select("host", "form", "h", "n", "items", "range").mapInPandas(run, _STREAM)
 
 
 def infer_wrappers(docs: DataFrame) -> DataFrame:
     """(host, form, n_streams, n_slots, n_optional, n_repeated, wrapper) from (url, html, markdown, headings)."""
-    streams = token_streams(docs)
-    folded = _folded(_folded(streams.where("host IS NOT NULL"), PREFIX_BITS), 0)
+    folded = _folded(_folded(token_streams(docs), PREFIX_BITS), 0)
     schema = "host string, form string, n_streams bigint, n_slots int, n_optional int, n_repeated int, wrapper string"
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            rows = []
             with DeepCalls():
-                wrappers = [unpacked(x) for x in part["items"]]
-                counts = [count_parts(w) for w in wrappers]
-                out = part[["host", "form"]].assign(n_streams=part["n"], n_slots=[c[0] for c in counts], n_optional=[c[1] for c in counts], n_repeated=[c[2] for c in counts])
-                yield out.assign(wrapper=[as_expression(w) for w in wrappers])
-
-    none = F.lit(None)
-    without = streams.where("host IS NULL").groupBy("form").agg(F.count(F.lit(1)).alias("n_streams"))
-    rest = without.select(none.cast("string").alias("host"), "form", "n_streams", *[none.cast("int").alias(c) for c in ("n_slots", "n_optional", "n_repeated")], none.cast("string").alias("wrapper"))
-    return folded.mapInPandas(write, schema).unionByName(rest)
+                for host, form, n, data in zip(part["host"], part["form"], part["n"], part["items"]):
+                    wrapper = unpacked(data) if data is not None else None
+                    rows.append((host, form, n, *((None,) * 4 if wrapper is None else (*count_parts(wrapper), as_expression(wrapper)))))
+            frame = pd.DataFrame(rows, columns=["host", "form", "n_streams", "n_slots", "n_optional", "n_repeated", "wrapper"])
+            yield frame.astype({c: "Int32" for c in ("n_slots", "n_optional", "n_repeated")})
+
+    return folded.mapInPandas(write, schema)
