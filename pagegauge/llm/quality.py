@@ -114,12 +114,26 @@ class LineModel:
         return path[::-1]
 
 
+class _Words(dict):
+    """Token to its word in lower case, empty where it is none; forgets all when it has grown large."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        word = token.strip(_EDGES)
+        found = self[token] = word.lower() if word and _WORD.fullmatch(word) else ""
+        return found
+
+
+_WORDS = _Words()
+
+
 def line_statistics(line: str, common: frozenset[str]) -> tuple[int, ...]:
     marker = _MARKER.match(line)
     body = line[marker.end() :] if marker else line
-    words = [w for w in (t.strip(_EDGES) for t in body.split()) if w and _WORD.fullmatch(w)]
+    words = [w for w in map(_WORDS.__getitem__, body.split()) if w]
     n = len(words)
-    shared = sum(w.lower() in common for w in words) / n if n else 0.0
+    shared = len([w for w in words if w in common]) / n if n else 0.0
     stripped = body.rstrip(" \t\"'”»)*_`")
     ends = 1 if stripped[-1:] in ".!?…。！？" else 0
     solid = len(body) - body.count(" ")
