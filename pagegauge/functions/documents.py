@@ -109,6 +109,14 @@ _FRONT = re.compile(r"\A---[^\n]*\n(.*?)(?:^---[ \t]*$\n?|\Z)", re.S | re.M)
 _OPEN = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _CLOSE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*$")
 _HEADING = re.compile(r"^(#{1,6})[\s﻿]+(.+)$", re.M)
+#: fixed values: what a Markdown text loses on the way to its plain words, in this order
+_MARKS = (
+    (re.compile(r"`[^`]+`"), ""),
+    (re.compile(r"!\[.*?\]\(.*?\)"), ""),
+    (re.compile(r"\[([^\]]+)\]\(.*?\)"), r"\1"),
+    (re.compile(r"[#*_~`>]"), ""),
+)
+#: fixed value: a link or image of Markdown
 _LINK = re.compile(r"(!?)\[([^\]]*)\]\(([^)\s]+)(?:\s+[\"'][^\"']*[\"'])?\)")
 
 
@@ -131,26 +139,31 @@ def without_fences(text: str) -> str:
     return "\n".join(out)
 
 
+_PLAIN_TYPES = re.compile(r"[-+]?(?:\d[\d_]*(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?|[-+]?\.inf|\.nan|true|false|null|~|\d{4}-\d\d?-\d\d?(?:[Tt ].*)?|[\[{&*!|>%@].*", re.I)
+_PAIR = re.compile(r"([^\s#:\-][^:]*?)[ \t]*:(?:[ \t]+(.*))?$")
+
+
 def front_matter(text: str) -> tuple[dict[str, str], str]:
-    """Scalar strings of YAML front matter, and the text below it."""
+    """Strings of YAML front matter at its top level, and the text below it; numbers, dates, lists and maps are no strings."""
     m = _FRONT.match(text)
     if m is None:
         return {}, text
     found: dict[str, str] = {}
-    try:
-        import yaml
-
-        data = yaml.safe_load(m.group(1))
-        if isinstance(data, dict):
-            found = {str(k): v for k, v in data.items() if isinstance(v, str)}
-    except ImportError:
-        for row in m.group(1).splitlines():
-            key, colon, value = row.partition(":")
-            value = value.strip()
-            if colon and value and not key.startswith((" ", "#", "-")) and not re.fullmatch(r"[-+.\d]+|true|false|null|~|\[.*|\{.*", value, re.I):
-                found[key.strip()] = value.strip("\"'")
-    except Exception:  # noqa: BLE001  malformed front matter has no fields
-        pass
+    for row in m.group(1).splitlines():
+        pair = _PAIR.match(row)
+        value = (pair.group(2) or "").strip() if pair else ""
+        if not value:
+            continue
+        if value[0] in "\"'":
+            end = re.match(r'"((?:[^"\\]|\\.)*)"|\'((?:[^\']|\'\')*)\'', value)
+            if end is None:
+                continue
+            value = re.sub(r'\\(["\\/])', r"\1", end.group(1)) if end.group(1) is not None else end.group(2).replace("''", "'")
+        else:
+            value = re.sub(r"\s+#.*$", "", value)
+            if _PLAIN_TYPES.fullmatch(value):
+                continue
+        found[pair.group(1).strip("\"'")] = value
     return found, text[m.end() :]
 
 
@@ -169,10 +182,10 @@ def parse_markdown(text: str) -> dict:
                 current = []
         elif not row.startswith(("#", "-", "*")) and not re.match(r"\d+\.", row):
             current.append(row)
-    raw = re.sub(r"`[^`]+`", "", visible)
-    raw = re.sub(r"!\[.*?\]\(.*?\)", "", raw)
-    raw = re.sub(r"\[([^\]]+)\]\(.*?\)", r"\1", raw)
-    raw = _RUN.sub(" ", re.sub(r"[#*_~`>]", "", raw)).strip(" ")
+    raw = visible
+    for pattern, kept in _MARKS:
+        raw = pattern.sub(kept, raw)
+    raw = _RUN.sub(" ", raw).strip(" ")
     links, images = [], []
     for m in _LINK.finditer(visible):
         if m.group(1):

@@ -19,6 +19,7 @@ PAGE_CHECKS = (
     "robots-directives", "link-discovery", "image-alternatives", "json-ld-structure",
 )
 BUILD_CHECKS = ("document-title", "meta-description", "canonical", "indexing-directives", "jsonld-syntax", "http-indexing")
+#: fixed values: directives of robots tags and headers
 BLOCKED = r"(?i)(?:^|[,\s])(?:noindex|none)(?:$|[,\s])"
 UNFOLLOWED = r"(?i)(?:^|[,\s])nofollow(?:$|[,\s])"
 PARAMETERS = r"(?i)\b(max-snippet|max-image-preview|max-video-preview|unavailable_after):\s+"

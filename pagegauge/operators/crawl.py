@@ -16,17 +16,18 @@ DEFAULT_PAGES = 20
 def follow_redirects(hops: DataFrame, most: int = MAX_HOPS) -> DataFrame:
     """(start_url, final_url, n_hops) from (from_url, to_url), at most ``most`` hops; a loop ends there.
 
-    Every round doubles nothing and forgets nothing: it moves only chains that still go on.
+    A round moves only the chains that still go on, and the rounds end with the longest chain.
     """
     step = hops.select(F.col("from_url").alias("_f"), F.col("to_url").alias("_t"))
-    walking = hops.select(F.col("from_url").alias("start_url"), F.col("to_url").alias("at"), F.lit(1).alias("n"))
+    moving = hops.select(F.col("from_url").alias("start_url"), F.col("to_url").alias("final_url"), F.lit(1).alias("n_hops"))
+    reached = moving
     for _ in range(most - 1):
-        walking = walking.join(step, walking["at"] == step["_f"], "left").select(
-            "start_url", F.coalesce("_t", "at").alias("at"), (F.col("n") + F.col("_t").isNotNull().cast("int")).alias("n")
-        )
-    return walking.select("start_url", F.col("at").alias("final_url"), "n").groupBy("start_url").agg(F.max(F.struct("n", "final_url")).alias("m")).select(
-        "start_url", "m.final_url", F.col("m.n").alias("n_hops")
-    )
+        moving = cut_lineage(moving.join(step, F.col("final_url") == F.col("_f")).select("start_url", F.col("_t").alias("final_url"), (F.col("n_hops") + 1).alias("n_hops")))
+        if moving.isEmpty():
+            break
+        reached = reached.unionByName(moving)
+    last = reached.groupBy("start_url").agg(F.max(F.struct("n_hops", "final_url")).alias("m"))
+    return last.select("start_url", "m.final_url", "m.n_hops")
 
 
 def check_page_limit(most: int | None) -> int:

@@ -56,7 +56,7 @@ def read_sitemaps(documents: DataFrame) -> DataFrame:
 def walk_sitemaps(sitemaps: DataFrame, starts: DataFrame, most: int = MAX_SITEMAPS) -> DataFrame:
     """The sitemaps of each origin that a breadth-first walk from ``starts`` (origin, url, pos) reads, in order."""
     seen = None
-    frontier = starts.select("origin", "url", F.col("pos").alias("step")).withColumn("level", F.lit(0))
+    frontier = starts.select("origin", "url", F.array(F.col("pos").cast("int")).alias("step")).withColumn("level", F.lit(0))
     for level in range(most):
         order = Window.partitionBy("origin").orderBy("level", "step", "url")
         known = frontier if seen is None else seen.select("origin", "url", "level", "step").unionByName(frontier)
@@ -66,7 +66,7 @@ def walk_sitemaps(sitemaps: DataFrame, starts: DataFrame, most: int = MAX_SITEMA
         frontier = (
             seen.where((F.col("kind") == "index") & (F.col("level") == level))
             .select("origin", F.col("url").alias("_from"), F.col("step").alias("_s"), F.posexplode("urls").alias("_p", "_u"))
-            .select("origin", resolved_url("_u", "_from").alias("url"), (F.col("_s") * 10000 + F.col("_p")).alias("step"))
+            .select("origin", resolved_url("_u", "_from").alias("url"), F.concat("_s", F.array("_p")).alias("step"))
             .where(origin(F.col("url")) == F.col("origin"))
             .withColumn("level", F.lit(level + 1))
         )
