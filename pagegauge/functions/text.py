@@ -62,8 +62,53 @@ def grade(total: Column) -> Column:
     return F.when(total >= 80, "Excellent").when(total >= 60, "Good").when(total >= 40, "Needs Work").otherwise("Poor")
 
 
-def signed(delta: Column) -> Column:
-    return F.when(delta.isNull(), "N/A").when(delta > 0, F.concat(F.lit("+"), delta.cast("string"))).otherwise(delta.cast("string"))
+def percent(share: Column) -> Column:
+    """A share as a whole percentage, halves up."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def source_label(target: Column) -> Column:
+    return F.when(target.rlike(r"(?i)\A\s*https?://[^/?#\s]+"), "Affected URL").otherwise("Affected source group")
+
+
+#: how a preview was captured (fixed values)
+CAPTURES = {
+    "local-file": "local file",
+    "response-html": "response HTML",
+    "browser-rendered-html": "browser-rendered HTML",
+    "provided-html": "provided HTML",
+    "markdown": "Markdown",
+}
+
+
+def capture_label(capture: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in CAPTURES.items() for x in pair])[capture]
+
+
+def site_name(title: Column, path: Column) -> Column:
+    """What stands before the first bar and dash of the title, else the last part of the path."""
+    short = trim(F.split_part(F.split_part(F.coalesce(title, F.lit("")), F.lit("|"), F.lit(1)), F.lit("-"), F.lit(1)))
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda p: p != "")
+    return F.coalesce(F.nullif(short, F.lit("")), F.try_element_at(parts, F.lit(-1)), F.lit("Website"))
+
+
+def audit_source(rendering: Column) -> Column:
+    return F.when(rendering == "markdown", "markdown").otherwise("html")
+
+
+def target_kind(target: Column) -> Column:
+    """What a scan target is: directory paths need to be named as such, so they are refused here."""
+    web = target.startswith("http://") | target.startswith("https://")
+    file = F.lower(target).rlike(r"\.(?:html?|mdx?|markdown)\z")
+    bare = target.contains(".") & ~target.contains("/") & ~target.contains("\\")
+    return F.when(target.isNull(), None).when(web, "url").when(file, "file").when(bare, "url").when(target.startswith("./") | target.startswith("/") | target.startswith(".."), "refused").otherwise("url")
+
+
+def target_path(target: Column) -> Column:
+    """The address or path of a target; an address without scheme is of https."""
+    kind = target_kind(target)
+    web = target.startswith("http://") | target.startswith("https://")
+    return F.when((kind == "url") & ~web, F.concat(F.lit("https://"), target)).when(kind != "refused", target)
 
 
 def likely_script_page(html: Column) -> Column:

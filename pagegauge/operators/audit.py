@@ -82,6 +82,69 @@ def page_checks(pages: DataFrame) -> DataFrame:
     return with_canonical.withColumns({column_name(k): v for k, v in values.items()}).drop("_canonical")
 
 
+SAMPLES = 20
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """``pages`` (status, redirects, x_robots_tag, final, doc) with a column ``evidence``: check, what it saw and what a reader needs to judge it.
+
+    Lists are cut to ``SAMPLES`` entries, as the contract has it; counts are of everything.
+    """
+    d = F.col("doc")
+    headings, links, images = d["headings"], d["links"], d["images"]
+    n = F.size(headings)
+    at = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    level = lambda i: F.get(headings, i)["level"]
+    skipped = F.transform(F.filter(at, lambda i: level(i) > level(i - 1) + 1), lambda i: F.concat(F.lit("H"), level(i - 1).cast("string"), F.lit(" -> H"), level(i).cast("string")))
+    outline = F.transform(F.slice(headings, 1, SAMPLES), lambda h: F.concat(F.lit("H"), h["level"].cast("string"), F.lit(": "), h["text"]))
+    hops = F.transform(F.coalesce("redirects", F.array().cast("array<struct<from_url:string,to_url:string,status:int>>")),
+                       lambda h: F.concat(h["status"].cast("string"), F.lit(" "), h["from_url"], F.lit(" -> "), h["to_url"]))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    some = lambda c: F.array_join(F.slice(c, 1, SAMPLES), " | ")
+    no_alt = F.filter(images, lambda x: x["alt"].isNull())
+    types = F.array_sort(F.array_distinct(F.flatten(F.transform(d["nodes"], lambda x: x["types"]))))
+    seen = {
+        "http-status": F.concat(text(F.col("status")), F.lit(", hops "), F.size(hops).cast("string"), F.lit(": "), some(hops)),
+        "document-title": text(F.nullif(d["document_title"], F.lit(""))),
+        "meta-description": text(d["meta"]["description"]),
+        "heading-structure": F.concat(text(n), F.lit(" headings, "), text(F.size(F.filter(headings, lambda h: h["level"] == 1))), F.lit(" h1, skips "), F.array_join(skipped, ", "), F.lit(", outline "), F.array_join(outline, " | ")),
+        "document-language": text(d["language"]),
+        "canonical-link": some(d["canonicals"]),
+        "robots-directives": F.concat(F.array_join(robots_values(d), ", "), F.lit("; header "), text(F.col("x_robots_tag"))),
+        "link-discovery": F.concat(text(F.size(links)), F.lit(" links, "), text(F.size(F.filter(links, lambda x: ~_filled(x["text"])))), F.lit(" without text: "), some(F.transform(links, lambda x: x["href"]))),
+        "image-alternatives": F.concat(text(F.size(images)), F.lit(" images, "), text(F.size(F.filter(images, lambda x: x["alt"] == ""))), F.lit(" decorative, without alternative: "), some(F.transform(no_alt, lambda x: x["src"]))),
+        "json-ld-structure": F.concat(text(d["block_count"]), F.lit(" blocks, types "), F.array_join(types, ", ")),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("check_id"), seen[k].alias("evidence")) for k in PAGE_CHECKS])
+    return pages.where(d.isNotNull()).withColumn("evidence", rows)
+
+
+def document_checks(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc, rendering, base) with one status column for each page check of a document that was not fetched.
+
+    ``rendering`` is html or markdown; ``base`` is its address where it has one.  Markdown need not declare
+    what only HTML can: description, language and canonical are N/A there when absent.
+    """
+    checked = page_checks(docs.withColumn("status", F.lit(200)).withColumn("x_robots_tag", F.lit(None).cast("string")).withColumn("final", F.col("base")))
+    d = F.col("doc")
+    markdown = F.col("rendering") == "markdown"
+    missing = lambda: F.when(markdown, "N/A").otherwise("WARNING")
+    href = F.get(d["canonicals"], F.lit(0))
+    absolute = href.rlike(r"(?i)\A[a-z][a-z0-9+.\-]*:")
+    resolved = F.col("_resolved")
+    described = F.coalesce(F.nullif(d["meta"]["description"], F.lit("")), F.get(d["meta_values"]["description"], F.lit(0)))
+    values = {
+        "http_status": F.lit("N/A"),
+        "document_title": F.when(_filled(F.when(markdown, d["title"]).otherwise(d["document_title"])), "PASS").otherwise("FAIL"),
+        "meta_description": F.when(F.coalesce(described, F.lit("")) != "", "PASS").otherwise(missing()),
+        "document_language": F.when(d["language"].isNotNull(), "PASS").otherwise(missing()),
+        "canonical_link": F.when(F.size(d["canonicals"]) == 0, missing()).when(F.size(d["canonicals"]) > 1, "FAIL")
+        .when(F.col("base").isNull() & (trim(href) != "") & ~absolute, "N/A").when(resolved.isNull(), "FAIL")
+        .when(F.col("base").isNull() | (resolved != without_fragment(F.col("base"))), "WARNING").otherwise("PASS"),
+    }
+    return checked.withColumn("_resolved", resolved_url(href, F.col("base"))).withColumns(values).drop("_resolved", "status", "x_robots_tag", "final")
+
+
 def build_checks(pages: DataFrame, base: str | None = None, expect_indexable: bool = False) -> DataFrame:
     """``pages`` (doc) with one status column for each build check; ``base`` names a column with the deployed address."""
     d = F.col("doc")

@@ -47,3 +47,29 @@ def missing_crawlers(policies: DataFrame, key: str = "origin", text: str = "text
     each = policies.select(key, F.col(text).alias("_t"), F.explode(F.array(*[F.lit(c) for c in CRAWLERS])).alias("crawler"))
     named = F.regexp_like(F.coalesce("_t", F.lit("")), F.concat(F.lit(r"(?i)User-agent:\s*"), F.col("crawler")))
     return each.where(~named).select(key, "crawler")
+
+
+def article(title: Column, meta: Column, description: Column) -> Column:
+    """JSON of an article from a page's own title, author and date."""
+    date = F.coalesce(F.nullif(meta["article:published_time"], F.lit("")), F.nullif(meta["date"], F.lit("")))
+    author = F.struct(F.lit("Person").alias("@type"), meta["author"].alias("name"))
+    whole = F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("Article").alias("@type"), title.alias("headline"), author.alias("author"),
+        date.alias("datePublished"), description.alias("description"),
+    )
+    return F.to_json(whole)
+
+
+def site_list(pages: DataFrame, key: str, name: Column, about: Column) -> DataFrame:
+    """(key, section, ord, line): the lines of each site's page list in order, head first, for a writer that sorts by (section, ord).
+
+    Rows instead of one text for each site: a site may have a third of all pages.
+    """
+    heads = pages.groupBy(key).agg(F.min(F.struct("ord", name.alias("name"), about.alias("about"))).alias("h"))
+    head = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("ord"), line.alias("line"))
+        for i, line in enumerate((F.concat(F.lit("# "), F.col("h.name")), F.lit(""), F.concat(F.lit("> "), F.col("h.about")), F.lit(""), F.lit("## Pages"), F.lit("")))
+    ])
+    top = heads.select(key, F.lit(0).alias("section"), F.explode(head).alias("x")).select(key, "section", "x.ord", "x.line")
+    body = pages.select(key, F.lit(1).alias("section"), F.col("ord").cast("bigint").alias("ord"), list_line(F.col("title"), F.col("url"), F.col("total")).alias("line"))
+    return top.unionByName(body)

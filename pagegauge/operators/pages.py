@@ -45,4 +45,24 @@ EXTRA_TAGS = (
     "CASE fetch_id % 4 WHEN 0 THEN '<script type=\"application/ld+json\">{\"@context\":\"https://schema.org\",\"@type\":\"Article\"}</script>' "
     "WHEN 1 THEN '<script type=\"application/ld+json\">{\"@type\":</script>' ELSE '' END)"
 )
-TAGGED_HTML = f"replace(html, '</head>', concat({EXTRA_TAGS}, '</head>'))"
+#: hubs of a site: addresses that other pages of it link to
+HUBS = 16
+#: before the body's end: links to a hub of the site, to the page itself, to other sites, to protected mail and to a private host, and images
+EXTRA_BODY = (
+    "concat(CASE WHEN fetch_id % 3 = 0 AND hub IS NOT NULL THEN concat('<a href=\"', hub, '#top\">hub</a>') ELSE '' END, "
+    "CASE fetch_id % 6 WHEN 1 THEN concat('<a href=\"https://other.example/x\">out</a><a href=\"/cdn-cgi/l/email-protection#ab12\">mail</a><a href=\"http://127.0.0.1/x\">own</a><a href=\"', requested_url, '\">self</a>') "
+    "WHEN 2 THEN '<img src=\"/a.png\" alt=\"A\"><img src=\"/b.png\">' WHEN 4 THEN '<img src=\"/c.png\" alt=\"\">' ELSE '' END)"
+)
+TAGGED_HTML = f"replace(replace(html, '</head>', concat({EXTRA_TAGS}, '</head>')), '</body>', concat({EXTRA_BODY}, '</body>'))"
+
+
+def with_hubs(fetches: DataFrame) -> DataFrame:
+    """``fetches`` (fetch_id, site_id, requested_url, status) with ``hub``, an address of the same site; for tests, with TAGGED_HTML.
+
+    A site has at most ``HUBS`` hubs and the sites are a fixed table, so the hubs are few at every scale.
+    """
+    place = F.col("fetch_id") % HUBS
+    worst = F.max(F.struct(F.coalesce("status", F.lit(0)), "requested_url"))["requested_url"]
+    hubs = fetches.groupBy("site_id", place.alias("_p")).agg(worst.alias("_worst"), F.min("requested_url").alias("_first"))
+    hubs = hubs.select("site_id", "_p", F.when(F.col("_p") % 2 == 0, F.col("_worst")).otherwise(F.col("_first")).alias("hub"))
+    return fetches.withColumn("_p", (F.col("fetch_id") + 1) % HUBS).join(F.broadcast(hubs), ["site_id", "_p"], "left").drop("_p")

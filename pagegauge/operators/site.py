@@ -7,6 +7,8 @@ they are compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ from pagegauge.functions.urls import is_mail_protection, origin, resolved_url
 from pagegauge.operators.audit import blocks_indexing
 from pagegauge.session import cut_lineage
 
+#: gives the addresses (url) of (origin, url) that robots.txt closes
+Closed = Callable[[DataFrame], DataFrame]
+#: checks of a site (fixed values)
+CHECKS = (
+    "crawl-coverage", "robots-policy", "site-http-status", "redirect-chains", "internal-link-targets", "canonical-consistency",
+    "sitemap-consistency", "orphan-candidates", "duplicate-titles",
+)
 #: kinds of findings (fixed values)
 KINDS = (
     "http-error", "multi-hop-redirect", "broken-internal-target", "missing-canonical", "malformed-canonical",
@@ -55,9 +64,40 @@ def broken_targets(edges: DataFrame, lookup: DataFrame) -> DataFrame:
     return targets(edges).join(bad, "url", "left_semi")
 
 
-def unchecked_targets(edges: DataFrame, lookup: DataFrame) -> DataFrame:
+def unchecked_targets(edges: DataFrame, lookup: DataFrame, denied: DataFrame) -> DataFrame:
+    """Internal targets without an answer, but for those (url) that the crawl left to robots.txt."""
     answered = lookup.where(F.col("status") != 0).select(F.col("address").alias("url"))
-    return targets(edges).join(answered, "url", "left_anti")
+    return targets(edges).join(answered, "url", "left_anti").join(denied, "url", "left_anti")
+
+
+def queued(edges: DataFrame, lookup: DataFrame, listed: DataFrame, denied: DataFrame) -> DataFrame:
+    """(origin, url) of link targets and sitemap entries that no page answers to and robots.txt does not close: what a longer crawl would visit."""
+    known = targets(edges).select("origin", "url").unionByName(listed.select("origin", "url")).distinct()
+    return known.join(lookup.select(F.col("address").alias("url")), "url", "left_anti").join(denied, "url", "left_anti")
+
+
+def sitemap_pages(lookup: DataFrame, listed: DataFrame) -> DataFrame:
+    """(origin, url, kind) of sitemap entries whose page answered with an error (broken) or not at all (unavailable)."""
+    found = listed.select("origin", "url").distinct().join(lookup.select(F.col("address").alias("url"), "status"), "url")
+    kind = F.when(F.col("status") >= 400, "broken").when(F.col("status") == 0, "unavailable")
+    return found.select("origin", "url", kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def sitemap_classes(answers: DataFrame) -> DataFrame:
+    """(origin, url, class) of the sitemaps (origin, url, status, kind) that failed, gave no answer or cannot be read."""
+    status = F.col("status")
+    kind = F.when(status == 0, "unavailable").when(~status.isin(200, 404), "failed").when((status == 200) & (F.col("kind") == "unknown"), "invalid")
+    return answers.select("origin", "url", kind.alias("class")).where("class IS NOT NULL")
+
+
+def discovered_from(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, source): the different pages that link to each page, under its requested or its final address.
+
+    Rows instead of a list for each page: everything links to a hub.
+    """
+    links = edges.where("internal").select(F.col("dst").alias("address"), F.col("src").alias("source")).distinct()
+    names = pages.select("url", F.explode(F.array_distinct(F.array("url", "final"))).alias("address")).where("address IS NOT NULL").distinct()
+    return names.join(links, "address").select("url", "source").distinct()
 
 
 def canonical_rows(pages: DataFrame) -> DataFrame:
@@ -125,11 +165,11 @@ def sitemap_omissions(pages: DataFrame, lookup: DataFrame, listed: DataFrame) ->
     return effective.join(has, "origin", "left_semi").join(listed.select("url").distinct(), "url", "left_anti")
 
 
-def orphan_candidates(edges: DataFrame, listed: DataFrame, starts: DataFrame) -> DataFrame:
-    """Pages of the sitemap that no other page links to, without start pages (url)."""
+def orphan_candidates(edges: DataFrame, listed: DataFrame, starts: DataFrame, denied: DataFrame) -> DataFrame:
+    """Pages of the sitemap that no other page links to, without start pages (url) and those (url) left to robots.txt."""
     linked = edges.where(F.col("internal") & (F.col("src") != F.col("dst"))).select(F.col("dst").alias("url")).distinct()
     candidates = listed.where(~is_mail_protection(F.col("url"))).select("origin", "url").distinct()
-    return candidates.join(starts.select("url"), "url", "left_anti").join(linked, "url", "left_anti")
+    return candidates.join(starts.select("url"), "url", "left_anti").join(denied, "url", "left_anti").join(linked, "url", "left_anti")
 
 
 def relations(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +177,7 @@ def relations(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(page_lookup(pages)), cut_lineage(link_edges(pages).distinct())
 
 
-def site_findings(pages: DataFrame, listed: DataFrame, starts: DataFrame) -> DataFrame:
+def site_findings(pages: DataFrame, listed: DataFrame, starts: DataFrame, closed: Closed) -> DataFrame:
     """(origin, kind, target): the ten kinds of findings of every site."""
     lookup, edges = relations(pages)
     kind = lambda df, name, target: df.select("origin", F.lit(name).alias("kind"), F.col(target).alias("target"))
@@ -147,7 +187,7 @@ def site_findings(pages: DataFrame, listed: DataFrame, starts: DataFrame) -> Dat
         kind(broken_targets(edges, lookup), "broken-internal-target", "url"),
         canonical_findings(pages, lookup),
         kind(sitemap_omissions(pages, lookup, listed), "sitemap-omission", "url"),
-        kind(orphan_candidates(edges, listed, starts), "orphan-candidate", "url"),
+        kind(orphan_candidates(edges, listed, starts, closed(listed)), "orphan-candidate", "url"),
         kind(duplicate_titles(pages, lookup), "duplicate-title", "title"),
     ]
     found = parts[0]
@@ -171,34 +211,34 @@ def page_metrics(pages: DataFrame) -> DataFrame:
     return wide.select("origin", F.explode(F.array(*[F.struct(F.lit(n).alias("metric_id"), F.col(f"`{n}`").alias("value")) for n in counts])).alias("m")).select("origin", "m.*")
 
 
-def metrics_from_findings(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("origin", "kind").agg(F.count(F.lit(1)).alias("n_findings"))
-
-
-def site_metrics(pages: DataFrame, listed: DataFrame, starts: DataFrame) -> DataFrame:
+def site_metrics(pages: DataFrame, listed: DataFrame, starts: DataFrame, closed: Closed) -> DataFrame:
     """(origin, metric_id, value): counts of pages, targets and findings of every site; NULL is not measured.
 
     Canonical counts need an HTML page, sitemap counts a sitemap.
     """
     lookup, edges = relations(pages)
+    known = targets(edges).select("origin", "url").unionByName(listed.select("origin", "url")).distinct()
+    denied = cut_lineage(closed(known))
     count = lambda df, name: df.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).select("origin", F.lit(name).alias("metric_id"), "n")
     canonical = cut_lineage(canonical_findings(pages, lookup))
     of_kind = lambda kind, name: count(canonical.where(F.col("kind") == kind), name)
     parts = [
         count(targets(edges), "internal-targets"),
         count(broken_targets(edges, lookup), "broken-targets"),
-        count(unchecked_targets(edges, lookup), "unchecked-targets"),
+        count(unchecked_targets(edges, lookup, denied), "unchecked-targets"),
         of_kind("missing-canonical", "missing-canonicals"),
         of_kind("malformed-canonical", "malformed-canonicals"),
         of_kind("non-self-canonical", "nonself-canonicals"),
         of_kind("shared-canonical", "shared-canonicals"),
         count(listed.select("origin", "url").distinct(), "sitemap-urls"),
         count(sitemap_omissions(pages, lookup, listed), "sitemap-omissions"),
-        count(orphan_candidates(edges, listed, starts), "orphan-candidates"),
+        count(orphan_candidates(edges, listed, starts, denied), "orphan-candidates"),
         count(duplicate_titles(pages, lookup), "duplicate-titles"),
+        count(known.join(denied, "url", "left_semi"), "robots-skipped"),
+        count(queued(edges, lookup, listed, denied), "queued-urls"),
     ]
     names = ["internal-targets", "broken-targets", "unchecked-targets", "missing-canonicals", "malformed-canonicals", "nonself-canonicals",
-             "shared-canonicals", "sitemap-urls", "sitemap-omissions", "orphan-candidates", "duplicate-titles"]
+             "shared-canonicals", "sitemap-urls", "sitemap-omissions", "orphan-candidates", "duplicate-titles", "robots-skipped", "queued-urls"]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -211,3 +251,73 @@ def site_metrics(pages: DataFrame, listed: DataFrame, starts: DataFrame) -> Data
     )
     filled = grid.join(found, ["origin", "metric_id"], "left").select("origin", "metric_id", F.when(measured, F.coalesce("n", F.lit(0))).alias("value"))
     return page_metrics(pages).unionByName(filled)
+
+
+#: what each check counts
+EVIDENCE = {
+    "crawl-coverage": ("pages", "queued"),
+    "robots-policy": ("skipped",),
+    "site-http-status": ("failed", "silent"),
+    "redirect-chains": ("long",),
+    "internal-link-targets": ("targets", "broken", "unchecked"),
+    "canonical-consistency": ("html", "missing", "malformed", "foreign", "shared"),
+    "sitemap-consistency": ("entries", "sitemap_failed", "sitemap_invalid", "sitemap_unavailable", "entry_broken", "entry_unavailable", "omitted"),
+    "orphan-candidates": ("orphans",),
+    "duplicate-titles": ("titles",),
+}
+
+
+def site_checks(pages: DataFrame, listed: DataFrame, starts: DataFrame, robots_answers: DataFrame, sitemap_answers: DataFrame, closed: Closed) -> DataFrame:
+    """(origin, check_id, status, evidence) of the nine checks of every site in ``robots_answers`` (origin, status) or with pages.
+
+    Everything that the checks count is one row (origin, what) of a union, which one aggregation
+    without large groups turns into a row of counts for each site; the ladders are columns of it.
+    """
+    lookup, edges = relations(pages)
+    known = targets(edges).select("origin", "url").unionByName(listed.select("origin", "url")).distinct()
+    denied = cut_lineage(closed(known))
+    canonical = canonical_findings(pages, lookup)
+    hops = F.coalesce(F.size("redirects"), F.lit(0))
+    names = {"missing-canonical": "missing", "malformed-canonical": "malformed", "non-self-canonical": "foreign", "shared-canonical": "shared"}
+    kind = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    row = lambda df, what: df.select("origin", (F.lit(what) if isinstance(what, str) else what).alias("what"))
+    of_page = F.array_compact(F.array(
+        F.lit("pages"), F.when(F.col("status") >= 400, "failed"), F.when(F.col("status") == 0, "silent"), F.when(hops > 1, "long"), F.when(F.col("doc").isNotNull(), "html"),
+    ))
+    parts = [
+        pages.select("origin", F.explode(of_page).alias("what")),
+        row(queued(edges, lookup, listed, denied), "queued"),
+        row(known.join(denied, "url", "left_semi"), "skipped"),
+        row(targets(edges), "targets"),
+        row(broken_targets(edges, lookup), "broken"),
+        row(unchecked_targets(edges, lookup, denied), "unchecked"),
+        row(canonical, kind[F.col("kind")]),
+        row(listed.select("origin", "url").distinct(), "entries"),
+        row(sitemap_classes(sitemap_answers), F.concat(F.lit("sitemap_"), "class")),
+        row(sitemap_pages(lookup, listed), F.concat(F.lit("entry_"), "kind")),
+        row(sitemap_omissions(pages, lookup, listed), "omitted"),
+        row(orphan_candidates(edges, listed, starts, denied), "orphans"),
+        row(duplicate_titles(pages, lookup), "titles"),
+        row(robots_answers, "site"),
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    counted = found.groupBy("origin").agg(*[F.count_if(F.col("what") == w).alias(w) for e in EVIDENCE.values() for w in e])
+    c = counted.join(robots_answers.select("origin", F.col("status").alias("_robots")), "origin", "left")
+    n = F.col
+    ladders = {
+        "crawl-coverage": F.when(n("pages") == 0, "FAIL").when(n("queued") > 0, "WARNING").otherwise("PASS"),
+        "robots-policy": F.when(n("_robots") == 200, "PASS").when(n("_robots") == 404, "N/A").otherwise("WARNING"),
+        "site-http-status": F.when(n("failed") > 0, "FAIL").when(n("silent") > 0, "WARNING").when(n("pages") > 0, "PASS").otherwise("N/A"),
+        "redirect-chains": F.when(n("pages") == 0, "N/A").when(n("long") > 0, "WARNING").otherwise("PASS"),
+        "internal-link-targets": F.when(n("broken") > 0, "FAIL").when(n("unchecked") > 0, "WARNING").when(n("targets") > 0, "PASS").otherwise("N/A"),
+        "canonical-consistency": F.when(n("html") == 0, "N/A").when(n("malformed") > 0, "FAIL").when(n("missing") + n("foreign") + n("shared") > 0, "WARNING").otherwise("PASS"),
+        "sitemap-consistency": F.when(n("sitemap_failed") + n("sitemap_invalid") + n("entry_broken") > 0, "FAIL")
+        .when(n("sitemap_unavailable") + n("entry_unavailable") + n("omitted") > 0, "WARNING").when(n("entries") == 0, "N/A").otherwise("PASS"),
+        "orphan-candidates": F.when(n("entries") == 0, "N/A").when(n("orphans") > 0, "WARNING").otherwise("PASS"),
+        "duplicate-titles": F.when(n("html") == 0, "N/A").when(n("titles") > 0, "WARNING").otherwise("PASS"),
+    }
+    evidence = lambda check: F.concat_ws(", ", *[F.concat(F.lit(w + " "), n(w).cast("string")) for w in EVIDENCE[check]])
+    rows = F.array(*[F.struct(F.lit(k).alias("check_id"), ladders[k].alias("status"), evidence(k).alias("evidence")) for k in CHECKS])
+    return c.select("origin", F.explode(rows).alias("x")).select("origin", "x.*")

@@ -200,7 +200,9 @@ def test_site_relations(spark, pages):
     of = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
     assert of(site.link_counts(edges), "src", "n_internal", "n_external")[0] == ("http://s.test/", 2, 1)
     assert of(site.broken_targets(edges, lookup), "url") == [("http://s.test/gone",)]
-    assert of(site.unchecked_targets(edges, lookup), "url") == [("http://s.test/unknown",)]
+    closed = lambda *urls: spark.createDataFrame([(u,) for u in urls], "url string")
+    assert of(site.unchecked_targets(edges, lookup, closed()), "url") == [("http://s.test/unknown",)]
+    assert of(site.unchecked_targets(edges, lookup, closed("http://s.test/unknown")), "url") == []
     assert of(site.verified_canonicals(pages, lookup), "final", "target") == [("http://s.test/", "http://s.test/"), ("http://s.test/b", "http://s.test/")]
     kinds = of(site.canonical_findings(pages, lookup), "kind", "target")
     assert ("malformed-canonical", "http://s.test/c") in kinds and ("missing-canonical", "http://s.test/t") in kinds
@@ -208,12 +210,116 @@ def test_site_relations(spark, pages):
     assert not any(k == "shared-canonical" and t == "http://s.test/" for k, t in kinds)
     listed = spark.createDataFrame([("http://s.test", u) for u in ("http://s.test/", "http://s.test/b", "http://s.test/lonely")], "origin string, url string")
     starts = spark.createDataFrame([("http://s.test/",)], "url string")
-    assert of(site.orphan_candidates(edges, listed, starts), "url") == [("http://s.test/lonely",)]
+    assert of(site.orphan_candidates(edges, listed, starts, closed()), "url") == [("http://s.test/lonely",)]
+    assert of(site.orphan_candidates(edges, listed, starts, closed("http://s.test/lonely")), "url") == []
+    assert of(site.queued(edges, lookup, listed, closed()), "url") == [("http://s.test/lonely",), ("http://s.test/unknown",)]
+    gone = spark.createDataFrame([("http://s.test", "http://s.test/gone")], "origin string, url string")
+    assert of(site.sitemap_pages(lookup, gone), "url", "kind") == [("http://s.test/gone", "broken")]
+    assert of(site.discovered_from(edges, pages), "url", "source") == [("http://s.test/b", "http://s.test/"), ("http://s.test/b", "http://s.test/b"), ("http://s.test/gone", "http://s.test/")]
+    maps = spark.createDataFrame([("http://s.test", "a", 500, "unknown"), ("http://s.test", "b", 0, "unknown"), ("http://s.test", "c", 404, "unknown"), ("http://s.test", "d", 200, "unknown"), ("http://s.test", "e", 200, "urlset")], "origin string, url string, status int, kind string")
+    assert of(site.sitemap_classes(maps), "url", "class") == [("a", "failed"), ("b", "unavailable"), ("d", "invalid")]
+    answers = spark.createDataFrame([("http://s.test", 200), ("http://empty.test", 404)], "origin string, status int")
+    checks = {(r["origin"][7:8], r["check_id"]): (r["status"], r["evidence"]) for r in site.site_checks(pages, listed, starts, answers, maps, lambda urls: closed()).collect()}
+    assert len(checks) == 18 and checks["s", "internal-link-targets"] == ("FAIL", "targets 3, broken 1, unchecked 1")
+    assert checks["s", "crawl-coverage"] == ("WARNING", "pages 8, queued 2") and checks["e", "crawl-coverage"][0] == "FAIL" and checks["e", "robots-policy"][0] == "N/A"
+    assert checks["s", "site-http-status"][0] == "FAIL" and checks["s", "redirect-chains"][0] == "WARNING" and checks["s", "sitemap-consistency"][0] == "FAIL" and checks["e", "duplicate-titles"][0] == "N/A"
     omitted = of(site.sitemap_omissions(pages, lookup, listed), "url")
     assert ("http://s.test/n",) not in omitted and ("http://s.test/r",) in omitted and ("http://s.test/b",) not in omitted
-    assert {r["kind"] for r in site.site_findings(pages, listed, starts).collect()} <= set(site.KINDS)
-    order = of(crawl.crawl_order(pages, edges), "place", "url")
-    assert order == [(1, "http://s.test/"), (2, "http://s.test/b"), (3, "http://s.test/gone")]
+    assert {r["kind"] for r in site.site_findings(pages, listed, starts, lambda urls: closed()).collect()} <= set(site.KINDS)
+
+
+def crawled(edges, starts, entries, denied, most):
+    """The order of a crawl of one site, address by address."""
+    links, order, queue, closed = {}, [], [], set(denied)
+    for src, dst in edges:
+        links.setdefault(src, set()).add(dst)
+    seen, listed = set(), list(entries)
+    queue = list(starts)
+    while len(order) < most and (queue or listed):
+        url = queue.pop(0) if queue else listed.pop(0)
+        if url in seen or url in closed:
+            continue
+        seen.add(url)
+        order.append(url)
+        queue.extend(sorted(links.get(url, ())))
+    return order
+
+
+def test_crawl_order_against_a_crawl_address_by_address(spark):
+    import random
+
+    rnd = random.Random(5)
+    edges, starts, entries, denied, want = [], [], [], [], {}
+    for n in range(12):
+        urls = [f"http://s{n}.test/{i:02}" for i in range(25)]
+        links = {(rnd.choice(urls), rnd.choice(urls)) for _ in range(rnd.choice((0, 10, 40)))}
+        listed = rnd.sample(urls, rnd.randint(0, 20))
+        shut = rnd.sample(urls, 3)
+        edges += [(f"o{n}", s, d, True) for s, d in links] + [(f"o{n}", urls[0], "http://else.test/", False)]
+        starts.append((f"o{n}", urls[0]))
+        entries += [(f"o{n}", u, i) for i, u in enumerate(listed)]
+        denied += [(u,) for u in shut]
+        want[f"o{n}"] = crawled(links, urls[:1], listed, shut, 14)
+    frames = (
+        spark.createDataFrame(edges + edges[:5], "origin string, src string, dst string, internal boolean"), spark.createDataFrame(starts, "origin string, url string"),
+        spark.createDataFrame(entries, "origin string, url string, pos bigint"), spark.createDataFrame(denied, "url string"),
+    )
+    order = crawl.crawl_order(*frames, most=14)
+    got = {}
+    for r in sorted(order.collect(), key=lambda r: r["place"]):
+        got.setdefault(r["origin"], []).append(r["url"])
+    assert got == {k: v for k, v in want.items() if v}
+    rest = {r["origin"]: (r["crawled"], r["truncated"]) for r in crawl.crawl_rest(order, frames[0], frames[2], frames[3]).collect()}
+    assert all(rest[k][0] == len(v) for k, v in want.items() if v) and any(t for _, t in rest.values()) and not all(t for _, t in rest.values())
+    with pytest.raises(ValueError):
+        crawl.crawl_order(*frames, most=201)
+
+
+def test_ledger_refuses_what_it_cannot_keep(spark):
+    fields = ", ".join(f"{c} {'double' if c in ('position', 'clicks', 'impressions') else 'string'}" for c in ledger.IDENTITY)
+    good = ("2026-02-03T04:05:06Z", "search", "  Some  Words ", "/p", None, 1.0, 2.5, "2026-01-01", "2026-01-31", "US", "mobile", None)
+    change = lambda i, v: (*good[:i], v, *good[i + 1 :])
+    rows = spark.createDataFrame([good, good, change(0, "x"), change(2, " "), change(5, -1.0), change(7, "2026-02-31"), change(8, "2025-01-01"), change(3, "/q")], fields)
+    none = spark.createDataFrame([], "observation_id string")
+    accepted, refused = ledger.record_observations(rows, none)
+    import hashlib
+
+    text = '{"observedAt":"2026-02-03T04:05:06.000Z","source":"search","keyword":"Some Words","targetPath":"/p","position":null,"clicks":1,"impressions":2.5,"startDate":"2026-01-01","endDate":"2026-01-31","country":"US","device":"mobile","searchType":"web"}'
+    ids = {r["targetPath"]: r["observation_id"] for r in accepted.collect()}
+    assert len(ids) == 2 and ids["/p"] == hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert sorted(r["reason"] for r in refused.collect()) == ["date", "date-order", "empty-text", "number", "timestamp"]
+    again, known = ledger.record_observations(rows, accepted.select("observation_id"))
+    assert again.count() == 0 and [r["reason"] for r in known.where("reason = 'known'").collect()] == ["known"] * 3
+
+
+def test_readiness_gate_and_evidence(spark):
+    report = "k int, scoring_version string, page_urls array<string>, report_ts timestamp"
+    after = spark.createDataFrame([(1, "v", ["/a", "/b"], ts(5)), (2, None, [], ts(5)), (3, "v", ["/a"], ts(1))], report)
+    before = spark.createDataFrame([(1, "v", ["/b", "/a"], ts(4)), (2, None, ["/a"], ts(4)), (3, "v", ["/a", "/a"], ts(4))], report)
+    gate = compare.readiness_gate(after, before, "k")
+    assert {r["k"]: r["reasons"] for r in gate.collect()} == {1: [], 2: ["scoring-version", "no-pages", "page-set"], 3: ["page-set", "baseline-newer"]}
+    pages = lambda *rows: spark.createDataFrame(rows, "k int, url string, total int")
+    pairs = compare.page_pairs(gate, pages((1, "/a", 7), (3, "/a", 1)), pages((1, "/a", 4), (1, "/z", 4), (3, "/a", 1)), "k")
+    assert [tuple(r) for r in pairs.collect()] == [(1, "/a", 7, 4, 3)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('x {"score": 81.5, "structure": 30, "schema": "4", "aiMetadata": [], "insight": 7} y', (82, 25, 4, None, "7")),
+        ('{"a": {"score": 5}}', (5, 0, 0, 0, "No insight provided")),
+        ('{"dims": {"structure": 2}, "score": 5}', None),
+        ('{"score": "5"}', None),
+        ('{"score": 5', None),
+        ("nothing", None),
+        (None, None),
+    ],
+)
+def test_reviews(text, want):
+    from pagegauge.functions.reviews import read_review
+
+    got = read_review(text)
+    assert (got and (got["score"], got["structure"], got["schema"], got["aiMetadata"], got["insight"])) == want
 
 
 def test_a_response_of_any_length_is_parsed(spark):
@@ -237,6 +343,19 @@ def test_translations_share_a_title(spark):
     assert titles([lang(1, "/en", "en", [("de", "/de")]), lang(2, "/de", "de", [("en", "/en")]), lang(3, "/fr", "fr", [])]) == 1
 
 
+def test_documents_without_http(spark):
+    from pagegauge.functions.documents import parsed_html, parsed_markdown
+
+    rows = spark.createDataFrame([(1, "markdown", "# T\n\n[a](/b)", None), (2, "markdown", "---\ntitle: 'T'\ndescription: d\ncanonical: /x\nlang: en\n---\ntext", None), (3, "html", "<p>x", None),
+                                  (4, "html", "<link rel=canonical href=/x><title>t</title>", "http://s.test/x"), (5, "html", "<link rel=canonical href='http://s.test/x'>", None)], "i int, rendering string, text string, base string")
+    docs = rows.where("rendering = 'html'").withColumn("doc", parsed_html("text")).unionByName(rows.where("rendering = 'markdown'").withColumn("doc", parsed_markdown("text")))
+    r = {x["i"]: x for x in audit.document_checks(docs).collect()}
+    assert (r[1]["document_title"], r[1]["meta_description"], r[1]["document_language"], r[1]["canonical_link"], r[1]["http_status"]) == ("PASS", "N/A", "N/A", "N/A", "N/A")
+    assert (r[2]["document_title"], r[2]["meta_description"], r[2]["document_language"], r[2]["canonical_link"]) == ("PASS", "PASS", "PASS", "N/A")
+    assert (r[3]["document_title"], r[3]["meta_description"], r[3]["canonical_link"]) == ("FAIL", "WARNING", "WARNING")
+    assert (r[4]["canonical_link"], r[5]["canonical_link"]) == ("PASS", "WARNING")
+
+
 def test_audits(pages):
     r = {x["fetch_id"]: x for x in audit.page_checks(pages).collect()}
     assert (r[1]["canonical_link"], r[2]["canonical_link"], r[4]["canonical_link"], r[6]["canonical_link"]) == ("PASS", "WARNING", "FAIL", "WARNING")
