@@ -3,29 +3,39 @@
 ``repeated_share`` follows the plain rule of the problem: the share of the words of the main body
 that stand in a run of five words or more, or in a sentence, that came before in the same field.
 
-``fit_kneser_ney`` counts all n-grams with Spark and fits a modified Kneser-Ney model for each
-language.  An n-gram seen once was seen in the text itself only: below ``MIN_COUNT``, which is the
-same for every size of the table, the back-off prices it, and the probability it leaves is given
-back there, so that each context's probabilities sum to 1.  ``corpus_perplexities`` prices the
-n-grams of the table that the model was fitted on by equi-joins and holds no model in memory;
-``SortedModel`` holds a small one in sorted arrays, for other texts.  ``perplexity_bands`` rejects
-the documents outside their language's band: broken generation and copies of a phrase have a very
-low perplexity per word, junk a very high one.
-
-Defined results: NULL and empty fields have no share and are no cases; equal rows count once;
-n-grams do not cross documents.
+``corpus_perplexities`` counts all n-grams with Spark, fits a modified Kneser-Ney model for each
+language and prices the texts with it.  Texts are read once, in chunks: a chunk keeps for each token
+the place of its trigram among the chunk's different trigrams, which go, a few bytes each, to the
+bucket of their middle word.  There the trigrams of all chunks meet as sorted arrays of hashes, with
+all that share their context or their bigram, are priced by binary search, and only their prices go
+back to the chunks.  Common words have ``SPLIT`` buckets each, by the word before.  Bigrams and words,
+of which there are far fewer, are priced by equi-joins.
+
+An n-gram seen once was seen in the text itself only: below ``MIN_COUNT``, which is the same for
+every size of the table, the back-off prices it, and the probability it leaves is given back there,
+so that each context's probabilities sum to 1.  ``fit_kneser_ney`` holds the model of few documents
+in memory, in sorted arrays, for other texts.  ``perplexity_bands`` rejects the documents outside
+their language's band: broken generation and copies of a phrase have a very low perplexity per word,
+junk a very high one.
+
+Defined results: NULL and empty fields have no share and are no cases; equal rows give one result (the
+counts of n-grams are of all rows, copies too); n-grams do not cross documents.
 """
 
 from __future__ import annotations
 
+import itertools
+import marshal
 import math
 import re
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegauge.llm.markup import clean_blocks
@@ -210,102 +220,159 @@ def common_by_language(common_words: DataFrame) -> dict[str, frozenset[str]]:
     return {lang: frozenset(words) for lang, words in known.items()}
 
 
-#: documents that a worker holds as arrays at once
-CHUNK = 2500
+#: fields and characters that a worker holds as arrays at once; a longer text is a chunk of its own
+CHUNK, CHUNK_CHARS = 4000, 16_000_000
+#: buckets of a common middle word, by the word before it
+SPLIT = 16
 
 
-def _chunks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        for at in range(0, len(part), CHUNK):
-            yield part.iloc[at : at + CHUNK]
-
-
-def _fields(part: pd.DataFrame) -> Iterator[tuple[int, str, str]]:
-    for fixture_id, html, markdown in zip(part["fixture_id"], part["html"], part["markdown"]):
+def _fields(part: pd.DataFrame) -> Iterator[tuple[int | None, bool, str]]:
+    known = part["known"] if "known" in part else itertools.repeat(True)
+    for fixture_id, named, html, markdown in zip(part["fixture_id"], known, part["html"], part["markdown"]):
+        fixture_id = fixture_id if named else None
         if html:
-            yield fixture_id, "html", html
+            yield fixture_id, True, html
         if markdown:
-            yield fixture_id, "markdown", markdown
+            yield fixture_id, False, markdown
+
 
+def _chunks(parts: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int | None, bool, str]]]:
+    held, chars = [], 0
+    for part in parts:
+        for field in _fields(part):
+            held.append(field)
+            chars += len(field[2])
+            if len(held) >= CHUNK or chars >= CHUNK_CHARS:
+                yield held
+                held, chars = [], 0
+    if held:
+        yield held
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(marshal.dumps([(a.dtype.str, a.tobytes()) for a in arrays]), 1)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=kind) for kind, x in marshal.loads(zlib.decompress(data))]
+
+
+def _pack_grams(w: np.ndarray, lang: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows of three word hashes as places in a list of the different words."""
+    words, ids = np.unique(w, return_inverse=True)
+    ids = ids.reshape(w.shape).astype(np.uint16 if len(words) < 1 << 16 else np.uint32)
+    return _pack(words, ids[1], ids[0], ids[2], lang.astype(np.uint8), np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255])
+
+
+def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, two, one, three, lang, counts, large = _unpack(data)
+    counts = counts.astype(np.int64)
+    counts[counts == 255] = large
+    return np.stack((words[one], words[two], words[three])), lang, counts
+
+
+class _Bucket:
+    """The different trigrams of a bucket, with the counts of all chunks, in the order of their hashes."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        parts = [_unpack_grams(x) for x in blobs]
+        self.sizes = [len(x[1]) for x in parts]
+        w = np.concatenate([x[0] for x in parts], axis=1)
+        context = WordHashes.join(w[0], w[1])
+        self.keys, first, self.of_entry = np.unique(WordHashes.join(context, w[2]), return_index=True, return_inverse=True)
+        self.counts = np.bincount(self.of_entry, np.concatenate([x[2] for x in parts])).astype(np.int64)
+        self.lang = np.concatenate([x[1] for x in parts])[first]
+        self.context, self.w2, self.w3 = context[first], w[1][first], w[2][first]
+        self.below = WordHashes.join(self.w2, self.w3)
+
+    def priced(self, low_keys: np.ndarray, low_p: np.ndarray, discounts: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability of each trigram, different contexts, their back-off weights); ``low_keys`` are the bigrams, sorted, with ``low_p``."""
+        low = low_p[np.searchsorted(low_keys, self.below)]
+        kept = self.counts >= min_count
+        d = discounts[self.lang, np.minimum(self.counts, 3) - 1]
+        own = self.counts - d
+        contexts, of = np.unique(self.context, return_inverse=True)
+        total, cut = np.bincount(of, self.counts), np.bincount(of, d)
+        left, held = np.bincount(of, np.where(kept, 0.0, own)), np.bincount(of, np.where(kept, low, 0.0))
+        share = cut / total
+        # what the rare n-grams of a context leave goes to the words that it does not hold
+        gamma = share + left / total / np.maximum(1.0 - held, 1e-9)
+        return np.where(kept, own / total[of] + share[of] * low, gamma[of] * low), contexts, gamma
 
-def count_trigrams(docs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
-    """(lang, k3, c2, s2, m1, l1, c): hashes of each trigram, of its first two, last two, middle and last words, and its count.
 
-    Counts are added up batch by batch before the shuffle.
-    """
-    schema = "lang string, k3 bigint, c2 bigint, s2 bigint, m1 bigint, l1 bigint, c bigint"
+def read_chunks(docs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
+    """(chunk, bucket, data): of each chunk its texts (bucket -1) and its different trigrams, by bucket."""
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    langs = sorted(common) or ["und"]
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for part in _chunks(parts):
-            langs, ones = [], []
-            for _, _, text in _fields(part):
+        split = np.unique(np.concatenate([hashes.words(lang, sorted(words)) for lang, words in common.items()])) if common else np.zeros(0, np.uint64)
+        for chunk in _chunks(parts):
+            meta, ones = [], []
+            for fixture_id, html, text in chunk:
                 lang, words = document_words(text, common)
                 if words:
-                    langs.append(lang)
+                    digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    meta.append((fixture_id is not None, fixture_id or 0, html, langs.index(lang), len(words), digest))
                     ones.append(hashes.words(lang, words))
-            if not ones:
+            if not meta:
                 continue
-            number, one, two, three, before_one, before_two = hashes.grams(ones)
-            _, first, counts = np.unique(three, return_index=True, return_counts=True)
-            columns = {"k3": three, "c2": before_two, "s2": two, "m1": before_one, "l1": one}
-            yield pd.DataFrame({
-                "lang": np.array(langs, dtype=object)[number[first]], **{k: v[first].view(np.int64) for k, v in columns.items()}, "c": counts,
-            })
-
-    counted = docs.select("fixture_id", "html", "markdown").mapInPandas(count, schema)
-    return counted.groupBy("lang", "k3", "c2", "s2", "m1", "l1").agg(F.sum("c").alias("c"))
-
-
-def priced_grams(docs: DataFrame, common: dict[str, frozenset[str]], min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, float]]:
-    """Modified Kneser-Ney of order 3 for each language: three discounts for each order, counted over all documents.
-
-    (words, bigrams, trigrams, probability of a word below ``min_count`` by language).  The rows hold
-    k, raw (the count), p (the probability after backing off where raw < min_count), and for bigrams
-    and trigrams the context with its back-off weight gamma.
-    """
-    spark = docs.sparkSession
-    three = cut_lineage(count_trigrams(docs, common))
-    langs = sorted(common) or ["und"]
+            columns = [np.array(c) for c in zip(*meta)]
+            whole = np.concatenate(ones)
+            number = np.repeat(np.arange(len(ones)), [len(x) for x in ones])
+            inside = number[:-2] == number[2:]
+            w = np.stack((whole[:-2][inside], whole[1:-1][inside], whole[2:][inside]))
+            _, first, of_token, counts = np.unique(hashes.join(hashes.join(w[0], w[1]), w[2]), return_index=True, return_inverse=True, return_counts=True)
+            lang, w = columns[3][number[2:][inside][first]], w[:, first]
+            by = np.uint64(40)
+            sub = np.where(np.isin(w[1], split), (w[0] >> by) % np.uint64(SPLIT), np.uint64(0))
+            bucket = ((w[1] >> by) + sub) % np.uint64(buckets)
+            order = np.lexsort((w[2], w[0], w[1], bucket))
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            key = uuid.uuid4().int >> 65
+            rows = [(key, -1, _pack(*columns, place[of_token]))]
+            bucket, w, lang, counts = bucket[order].astype(np.int64), w[:, order], lang[order], counts[order]
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for at, end in zip(starts, [*starts[1:], len(bucket)]):
+                rows.append((key, int(bucket[at]), _pack_grams(w[:, at:end], lang[at:end], counts[at:end])))
+            yield pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
+
+    # texts without an id are counted too; ids stay whole numbers
+    rows = docs.select(F.coalesce("fixture_id", F.lit(0)).alias("fixture_id"), F.col("fixture_id").isNotNull().alias("known"), "html", "markdown")
+    return rows.mapInPandas(read, "chunk bigint, bucket int, data binary")
+
+
+def _discounts(rows: list, n_langs: int) -> np.ndarray:
+    """The three discounts of each language from its counts of counts."""
+    out = np.tile([0.5, 1.0, 1.5], (n_langs, 1))
+    for lang, n1, n2, n3, n4 in rows:
+        n = [n1, n2, n3, n4]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        out[lang] = [min(i - 1e-3, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3)]
+    return out
+
+
+def _priced_lower(partial: DataFrame, langs: list[str], min_count: int) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """(words, bigrams, probability of a word below ``min_count`` by language) with k, raw and p; bigrams with their context's weight gamma."""
+    spark = partial.sparkSession
     start = WordHashes()
-    marks = spark.createDataFrame([(lang, int(start.words(lang, [])[:1].view(np.int64)[0])) for lang in langs], "lang string, start bigint")
-    two = three.groupBy("lang", "s2", "m1", "l1").agg(F.sum("c").alias("raw"), F.count(F.lit(1)).alias("types"))
+    marks = spark.createDataFrame([(i, int(start.words(lang, [])[:1].view(np.int64)[0])) for i, lang in enumerate(langs)], "lang int, start bigint")
+    two = partial.where("what = 0").groupBy("lang", "k", "context", "below").agg(F.sum("raw").alias("raw"), F.sum("types").alias("types"))
     # bigrams at the start of a text have no word before them: they keep their counts
-    two = cut_lineage(
-        two.join(F.broadcast(marks), "lang").select(
-            "lang", F.col("s2").alias("k"), F.col("m1").alias("context"), F.col("l1").alias("below"), "raw",
-            F.when(F.col("m1") == F.col("start"), F.col("raw")).otherwise(F.col("types")).alias("c"),
-        )
-    )
+    at_start = F.col("context") == F.col("start")
+    two = cut_lineage(two.join(F.broadcast(marks), "lang").select("lang", "k", "context", "below", "raw", F.when(at_start, F.col("raw")).otherwise(F.col("types")).alias("c")))
     one = cut_lineage(two.groupBy("lang", F.col("below").alias("k")).agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("c")))
-    top = three.select("lang", F.col("k3").alias("k"), F.col("c2").alias("context"), F.col("s2").alias("below"), F.col("c").alias("raw"), "c")
     kept = F.col("raw") >= min_count
 
     def discounted(grams: DataFrame) -> DataFrame:
         counts = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        rates = []
-        for r in grams.groupBy("lang").agg(*counts).collect():  # one row for each language
-            y = r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5
-            d = [min(i - 1e-3, max(0.05, i - (i + 1) * y * r[f"n{i + 1}"] / r[f"n{i}"])) if r[f"n{i}"] and r[f"n{i + 1}"] else 0.5 * i for i in (1, 2, 3)]
-            rates.append((r["lang"], *map(float, d)))
-        table = spark.createDataFrame(rates or [("", 0.5, 1.0, 1.5)], "lang string, d1 double, d2 double, d3 double")
+        rates = _discounts([tuple(r) for r in grams.groupBy("lang").agg(*counts).collect()], len(langs))  # one row for each language
+        table = spark.createDataFrame([(i, *map(float, d)) for i, d in enumerate(rates)], "lang int, d1 double, d2 double, d3 double")
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         return grams.join(F.broadcast(table), "lang").withColumn("d", cut).drop("d1", "d2", "d3")
 
-    def mixed(grams: DataFrame, lower: DataFrame) -> DataFrame:
-        priced = discounted(grams).join(lower.select(F.col("k").alias("below"), F.col("p").alias("low")), "below")
-        own = F.col("c") - F.col("d")
-        sums = priced.groupBy("context").agg(
-            F.sum("c").alias("total"), F.sum("d").alias("cut"),
-            F.sum(F.when(kept, 0.0).otherwise(own)).alias("left"), F.sum(F.when(kept, F.col("low")).otherwise(0.0)).alias("held"),
-        )
-        # what the rare n-grams of a context leave goes to the words that it does not hold
-        share = F.col("cut") / F.col("total")
-        weight = share + F.col("left") / F.col("total") / F.greatest(F.lit(1.0) - F.col("held"), F.lit(1e-9))
-        sums = sums.select("context", "total", share.alias("share"), weight.alias("gamma"))
-        p = F.when(kept, own / F.col("total") + F.col("share") * F.col("low")).otherwise(F.col("gamma") * F.col("low"))
-        return priced.join(sums, "context").select("k", "raw", "context", "gamma", p.alias("p"))
-
     p1 = discounted(one)
     s1 = p1.groupBy("lang").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.count(F.lit(1)).alias("types"))
     own = (F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") / (F.col("types") + 1)
@@ -315,55 +382,111 @@ def priced_grams(docs: DataFrame, common: dict[str, frozenset[str]], min_count:
         F.first(F.col("gamma") / (F.col("types") + 1)).alias("floor"), F.sum(F.when(kept, 0.0).otherwise(F.col("p"))).alias("left"), F.count_if(~kept).alias("n"),
     )
     unknown = {r["lang"]: (r["floor"] + r["left"]) / (r["n"] + 1) for r in rare.collect()}  # one row for each language
-    table = spark.createDataFrame(list(unknown.items()) or [("", 0.0)], "lang string, rare double")
+    table = spark.createDataFrame(list(unknown.items()) or [(0, 0.0)], "lang int, rare double")
     words = one_p.join(F.broadcast(table), "lang").select("k", "raw", F.when(kept, F.col("p")).otherwise(F.col("rare")).alias("p"))
-    bigrams = cut_lineage(mixed(two, words))
-    return words, bigrams, mixed(top, bigrams), unknown
+
+    priced = discounted(two).join(words.select(F.col("k").alias("below"), F.col("p").alias("low")), "below")
+    own = F.col("c") - F.col("d")
+    sums = priced.groupBy("context").agg(
+        F.sum("c").alias("total"), F.sum("d").alias("cut"),
+        F.sum(F.when(kept, 0.0).otherwise(own)).alias("left"), F.sum(F.when(kept, F.col("low")).otherwise(0.0)).alias("held"),
+    )
+    share = F.col("cut") / F.col("total")
+    weight = share + F.col("left") / F.col("total") / F.greatest(F.lit(1.0) - F.col("held"), F.lit(1e-9))
+    sums = sums.select("context", "total", share.alias("share"), weight.alias("gamma"))
+    p = F.when(kept, own / F.col("total") + F.col("share") * F.col("low")).otherwise(F.col("gamma") * F.col("low"))
+    bigrams = priced.join(sums, "context").select("k", "raw", "context", "gamma", p.alias("p"))
+    return words, cut_lineage(bigrams), {langs[i]: p for i, p in unknown.items()}
+
+
+class _Fitted:
+    """The chunks of a table with all that prices their trigrams."""
+
+    def __init__(self, docs: DataFrame, common: dict[str, frozenset[str]], min_count: int) -> None:
+        self.langs = langs = sorted(common) or ["und"]
+        self.min_count = min_count
+        self.chunks = cut_lineage(read_chunks(docs, common))
+        self.grams = self.chunks.where("bucket >= 0")
+
+        def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            b = _Bucket(list(frame["data"]))
+            k, first, of = np.unique(b.below, return_index=True, return_inverse=True)
+            view = lambda x: x[first].view(np.int64)
+            rows = pd.DataFrame({"what": 0, "bucket": key[0], "lang": b.lang[first].astype(np.int32), "k": k.view(np.int64), "context": view(b.w2), "below": view(b.w3),
+                                 "raw": np.bincount(of, b.counts).astype(np.int64), "types": np.bincount(of)})
+            few = b.counts <= 4
+            seen, n = np.unique(b.lang[few].astype(np.int64) * 8 + b.counts[few], return_counts=True)
+            sums = pd.DataFrame({"what": 1, "bucket": key[0], "lang": seen // 8, "k": seen % 8, "context": 0, "below": 0, "raw": n, "types": 0})
+            return pd.concat([rows, sums], ignore_index=True)
+
+        schema = "what int, bucket int, lang int, k bigint, context bigint, below bigint, raw bigint, types bigint"
+        partial = cut_lineage(self.grams.groupBy("bucket").applyInPandas(count, schema))
+        counts: dict[int, list[int]] = {i: [0, 0, 0, 0] for i in range(len(langs))}
+        for r in partial.where("what = 1").groupBy("lang", "k").agg(F.sum("raw").alias("n")).collect():  # four rows for each language
+            counts[r["lang"]][r["k"] - 1] = r["n"]
+        self.discounts = _discounts([(i, *n) for i, n in counts.items()], len(langs))
+        self.words, self.bigrams, self.unknown = _priced_lower(partial, langs, min_count)
+        self.prices = partial.where("what = 0").select("bucket", "k").join(self.bigrams.select("k", "p"), "k")
+
+    def per_bucket(self, make: Callable[[_Bucket, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+        """``make`` of each bucket, its rows, the probabilities of its trigrams, its contexts and their weights."""
+        discounts, min_count = self.discounts, self.min_count
+
+        def run(grams: pd.DataFrame, prices: pd.DataFrame) -> pd.DataFrame:
+            b = _Bucket(list(grams["data"]))
+            keys = prices["k"].to_numpy(dtype=np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            return make(b, grams, *b.priced(keys[order], prices["p"].to_numpy(dtype=float)[order], discounts, min_count))
+
+        return self.grams.groupBy("bucket").cogroup(self.prices.groupBy("bucket")).applyInPandas(run, schema)
 
 
 def fit_kneser_ney(docs: DataFrame, common: dict[str, frozenset[str]], min_count: int = MIN_COUNT) -> SortedModel:
     """The model of few documents in memory, to score other texts; a large table is scored by ``corpus_perplexities``."""
-    words, bigrams, trigrams, unknown = priced_grams(docs, common, min_count)
+    fitted = _Fitted(docs, common, min_count)
+
+    def entries(b: _Bucket, grams: pd.DataFrame, p: np.ndarray, contexts: np.ndarray, gamma: np.ndarray) -> pd.DataFrame:
+        kept = b.counts >= min_count
+        nan = np.full(len(contexts), np.nan)
+        return pd.DataFrame({
+            "k": np.concatenate((b.keys[kept], contexts)).view(np.int64), "p": np.concatenate((p[kept], nan)), "gamma": np.concatenate((np.full(kept.sum(), np.nan), gamma)),
+        })
+
     none = F.lit(None).cast("double")
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    top = fitted.per_bucket(entries, "k bigint, p double, gamma double").select("k", number("p"), number("gamma"))
     seen = lambda df: df.where(F.col("raw") >= min_count).select("k", "p", none.alias("gamma"))
-    left = lambda df: df.select(F.col("context").alias("k"), none.alias("p"), "gamma")
-    entries = seen(words).unionByName(seen(bigrams)).unionByName(seen(trigrams)).unionByName(left(bigrams)).unionByName(left(trigrams))
-    frame = entries.groupBy("k").agg(F.log(F.max("p")).alias("p"), F.log(F.max("gamma")).alias("gamma")).toPandas()
+    left = fitted.bigrams.select(F.col("context").alias("k"), none.alias("p"), "gamma")
+    whole = seen(fitted.words).unionByName(seen(fitted.bigrams)).unionByName(left).unionByName(top)
+    frame = whole.groupBy("k").agg(F.log(F.max("p")).alias("p"), F.log(F.max("gamma")).alias("gamma")).toPandas()
     return SortedModel(
         frame["k"].to_numpy(dtype="int64"), frame["p"].to_numpy(dtype="float64"), np.nan_to_num(frame["gamma"].to_numpy(dtype="float64")),
-        {lang: math.log(p) for lang, p in unknown.items()},
+        {lang: math.log(p) for lang, p in fitted.unknown.items()},
     )
 
 
 def corpus_perplexities(docs: DataFrame, common: dict[str, frozenset[str]], min_count: int = MIN_COUNT) -> DataFrame:
     """(fixture_id, field_name, lang, n_words, perplexity) of every field with words, under the model of the same documents."""
-    prices = priced_grams(docs, common, min_count)[2].select("k", F.log("p").alias("log_p"))
-    schema = "fixture_id bigint, html boolean, lang string, n_words int, text_hash bigint, k bigint, n int"
+    fitted = _Fitted(docs, common, min_count)
+    langs = fitted.langs
 
-    def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for part in _chunks(parts):
-            rows, ones = [], []
-            for fixture_id, name, text in _fields(part):
-                lang, words = document_words(text, common)
-                if words:
-                    rows.append((fixture_id, name == "html", lang, len(words), xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)))
-                    ones.append(hashes.words(lang, words))
-            if not rows:
-                continue
-            number, _, _, three, _, _ = hashes.grams(ones)
-            order = np.lexsort((three, number))
-            number, three = number[order], three[order]
-            first = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (three[1:] != three[:-1]))))
-            frame = pd.DataFrame(rows, columns=["fixture_id", "html", "lang", "n_words", "text_hash"]).iloc[number[first]]
-            yield frame.assign(k=three[first].view(np.int64), n=np.diff(np.append(first, len(three))))
+    def back(b: _Bucket, grams: pd.DataFrame, p: np.ndarray, contexts: np.ndarray, gamma: np.ndarray) -> pd.DataFrame:
+        logs = np.split(np.log(p).astype(np.float32)[b.of_entry], np.cumsum(b.sizes)[:-1])
+        return pd.DataFrame({"chunk": grams["chunk"], "bucket": grams["bucket"], "data": [_pack(x) for x in logs]})
 
-    wanted = docs.where(F.col("fixture_id").isNotNull()).select("fixture_id", "html", "markdown")
-    text = ["fixture_id", "html", "lang", "n_words", "text_hash"]
-    # equal rows add to both sums alike
-    sums = wanted.mapInPandas(grams, schema).join(prices, "k").groupBy(*text).agg((F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("mean"))
-    name = F.when(F.col("html"), "html").otherwise("markdown").alias("field_name")
-    return sums.select("fixture_id", name, "lang", F.col("n_words").cast("bigint").alias("n_words"), F.round(F.exp(-F.col("mean")), 4).alias("perplexity"))
+    def score(texts: pd.DataFrame, prices: pd.DataFrame) -> pd.DataFrame:
+        known, ids, html, lang, n_words, digest, place = _unpack(texts["data"].iloc[0])
+        logs = np.concatenate([_unpack(x)[0] for x in prices.sort_values("bucket")["data"]]).astype(float)[place]
+        sizes = n_words + 1
+        means = np.add.reduceat(logs, np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes
+        frame = pd.DataFrame({
+            "fixture_id": ids, "field_name": np.where(html, "html", "markdown"), "lang": np.array(langs, dtype=object)[lang], "n_words": n_words, "perplexity": np.round(np.exp(-means), 4),
+        })
+        return frame[known]
+
+    prices = fitted.per_bucket(back, "chunk bigint, bucket int, data binary")
+    texts = fitted.chunks.where("bucket < 0").groupBy("chunk").cogroup(prices.groupBy("chunk"))
+    return texts.applyInPandas(score, "fixture_id bigint, field_name string, lang string, n_words bigint, perplexity double")
 
 
 def perplexities(docs: DataFrame, common: dict[str, frozenset[str]], model: SortedModel) -> DataFrame:
@@ -371,12 +494,12 @@ def perplexities(docs: DataFrame, common: dict[str, frozenset[str]], model: Sort
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for part in _chunks(parts):
+        for chunk in _chunks(parts):
             rows, ones = [], []
-            for fixture_id, name, text in _fields(part):
+            for fixture_id, html, text in chunk:
                 lang, words = document_words(text, common)
                 if words:
-                    rows.append((fixture_id, name, lang, len(words)))
+                    rows.append((fixture_id, "html" if html else "markdown", lang, len(words)))
                     ones.append(hashes.words(lang, words))
             frame = pd.DataFrame(rows, columns=["fixture_id", "field_name", "lang", "n_words"])
             if not rows:
@@ -394,10 +517,17 @@ def perplexities(docs: DataFrame, common: dict[str, frozenset[str]], model: Sort
 
 
 def perplexity_bands(scored: DataFrame, band: float = BAND) -> DataFrame:
-    """Each document with its language's lower and upper band, and whether it lies outside."""
+    """Each document with its language's lower and upper band, and whether it lies outside.
+
+    Quartiles are those of the logarithms in steps of a thousandth: exact, the same however rows lie, and
+    found among a number of steps that the data does not raise.
+    """
     scored = cut_lineage(scored)
-    logs = F.log("perplexity")
-    quartiles = scored.groupBy("lang").agg(F.percentile_approx(logs, F.array(F.lit(0.25), F.lit(0.75)), F.lit(1000)).alias("q"))
-    width = F.col("q")[1] - F.col("q")[0]
-    bands = quartiles.select("lang", F.exp(F.col("q")[0] - band * width).alias("low"), F.exp(F.col("q")[1] + band * width).alias("high"))
+    steps = scored.groupBy("lang", F.round(F.log("perplexity") * 1000).cast("bigint").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("lang")
+    placed = steps.select("lang", "step", F.sum("n").over(whole.orderBy("step")).alias("upto"), F.sum("n").over(whole).alias("all"))
+    quartile = lambda share: F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("step") / 1000))
+    quartiles = placed.groupBy("lang").agg(quartile(0.25).alias("one"), quartile(0.75).alias("three"))
+    width = F.col("three") - F.col("one")
+    bands = quartiles.select("lang", F.exp(F.col("one") - band * width).alias("low"), F.exp(F.col("three") + band * width).alias("high"))
     return scored.join(F.broadcast(bands), "lang").withColumn("rejected", (F.col("perplexity") < F.col("low")) | (F.col("perplexity") > F.col("high")))

@@ -190,7 +190,7 @@ def test_joined_perplexities_are_those_of_the_model_in_memory(spark):
 
 
 def test_fitted_line_model_keeps_the_labels(spark):
-    texts = spark.createDataFrame([("The house is in the garden of a king.\n- red\n- blue\n1 | 2 | 3",)] * 20, "text string")
+    texts = spark.createDataFrame([("fixture_docs", "The house is in the garden of a king.\n- red\n- blue\n1 | 2 | 3")] * 20, "src_table string, text string")
     common = frozenset("the is in of a".split())
     model = quality.fit_line_model(texts, common)
     assert not quality.is_not_prose("The house is in the garden of a king.", model)
