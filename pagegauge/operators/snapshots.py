@@ -18,8 +18,11 @@ Defined results
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 _DEFAULT_PORT = r"(?i)^(?:(http://[^/?#]*):0*80|(https://[^/?#]*):0*443|(http://[^/?#]*|https://[^/?#]*):)(?=[/?#]|$)"
 _WHITE = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
@@ -35,9 +38,33 @@ def canonical_target(target: Column) -> Column:
 
 
 def canonical_hash(*values: Column) -> Column:
-    """A 64-bit hash pair of the values as text; NULL differs from every text."""
+    """A 64-bit hash of the values as text; NULL differs from every text.  Only hashes of one key are compared."""
     parts = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("v"), v.cast("string")), F.lit("n")) for v in values])
-    return F.struct(F.xxhash64(parts).alias("h1"), F.xxhash64(F.lit("pagegauge"), parts).alias("h2"))
+    return F.xxhash64(parts)
+
+
+_LIMIT = 1 << 60
+
+
+def _word() -> Column:
+    """2 ** 64, above which the version stands."""
+    return F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+
+
+def _ranked(version: Column, value: Column) -> Column:
+    """Version and hash as one number that orders by version, then by hash: a maximum that a hash aggregation can hold."""
+    high = (F.greatest(F.least(version, F.lit(_LIMIT)), F.lit(-_LIMIT)) + F.lit(_LIMIT)).cast("decimal(19,0)")
+    low = value.cast("decimal(20,0)") + F.when(value < 0, _word()).otherwise(F.lit(Decimal(0)))
+    return (high * _word() + low).cast("decimal(38,0)")
+
+
+def _coded(value: Column) -> Column:
+    """The value as a text that is never NULL, so that NULL equals NULL in plain equality."""
+    return F.coalesce(F.concat(F.lit("v"), value.cast("string")), F.lit("n"))
+
+
+def _decoded(text: Column, kind: DataType) -> Column:
+    return F.when(text != "n", F.substr(text, F.lit(2))).cast(kind)
 
 
 def snapshot_changes(
@@ -69,57 +96,52 @@ def snapshot_statuses(
 
     ``records`` holds the snapshots' rows, ``calendar`` one row for each snapshot of a group.
     The join key is (group, snapshot, *key): a hot group spreads over all partitions, because its
-    records differ in the key.  The calendar is one row per group and snapshot, so its ``lead``
-    window is small against the records.
+    records differ in the key.  Corrections end in one hash aggregation by that key, which combines them
+    before the shuffle; the later side of the join stays where it is then, and the earlier one moves to
+    its next snapshot.  The calendar is one row per group and snapshot, so its ``lead`` window is small against
+    the records.
     """
     key = key or {"kind": F.col("kind"), "target": canonical_target(F.col("target"))}
-    names = list(key)
-    latest = F.max_by(F.col("_hash"), F.struct(F.col("_version"), F.col("_hash")))
+    names = [f"_k_{n}" for n in key]
+    kinds = records.select(*[expr.alias(n) for n, expr in zip(names, key.values())]).schema
+    moment = F.col(version)
+    moment = F.unix_micros(moment.cast("timestamp")) if dict(records.dtypes)[version].startswith("timestamp") else moment.cast("bigint")
+    place = ["_g", "_s", *names]
     rows = (
         records.select(
-            F.col(group).alias("_g"),
+            _coded(F.col(group)).alias("_g"),
             F.col(snapshot).alias("_s"),
-            *[expr.alias(f"_k_{name}") for name, expr in key.items()],
+            *[_coded(expr).alias(n) for n, expr in zip(names, key.values())],
             canonical_hash(*[F.col(v) for v in values]).alias("_hash"),
-            F.col(version).alias("_version"),
+            F.coalesce(moment, F.lit(-_LIMIT)).alias("_version"),
         )
-        .groupBy("_g", "_s", *[f"_k_{n}" for n in names])
-        .agg(latest.alias("_hash"))
+        .where(F.col("_s").isNotNull())
+        .groupBy(*place)
+        .agg(F.max(_ranked(F.col("_version"), F.col("_hash"))).alias("_last"))
+        .select(*place, (F.col("_last") % _word()).alias("_hash"))
     )
     order = Window.partitionBy("_g").orderBy("_s")
     pairs = (
-        calendar.select(F.col(group).alias("_g"), F.col(snapshot).alias("_s"))
+        calendar.select(_coded(F.col(group)).alias("_g"), F.col(snapshot).alias("_s"))
         .where(F.col("_s").isNotNull())
         .distinct()
         .select("_g", "_s", F.lead("_s").over(order).alias("_next"), F.lag("_s").over(order).alias("_prev"))
     )
-    placed = rows.alias("r").join(pairs.alias("p"), F.expr("r._g <=> p._g AND r._s = p._s")).select(
-        "r._g", "r._s", "p._next", "p._prev", "r._hash", *[f"r._k_{n}" for n in names]
-    )
-    before = placed.where(F.col("_next").isNotNull()).select(
-        F.col("_g").alias("_bg"), F.col("_next").alias("_bs"), F.col("_hash").alias("_bh"),
-        *[F.col(f"_k_{n}").alias(f"_b_{n}") for n in names],
-    )
-    after = placed.where(F.col("_prev").isNotNull()).select(
-        F.col("_g").alias("_ag"), F.col("_s").alias("_as"), F.col("_hash").alias("_ah"),
-        *[F.col(f"_k_{n}").alias(f"_a_{n}") for n in names],
-    )
-    condition = F.col("_bg").eqNullSafe(F.col("_ag")) & (F.col("_bs") == F.col("_as"))
-    for n in names:
-        condition = condition & F.col(f"_b_{n}").eqNullSafe(F.col(f"_a_{n}"))
+    before = rows.join(pairs.where("_next IS NOT NULL").select("_g", "_s", "_next"), ["_g", "_s"]).select("_g", F.col("_next").alias("_s"), *names, F.col("_hash").alias("_before"))
+    after = rows.join(pairs.where("_prev IS NOT NULL").select("_g", "_s"), ["_g", "_s"]).select(*place, F.col("_hash").alias("_after"))
     kind = (
-        F.when(F.col("_bh").isNull(), "added")
-        .when(F.col("_ah").isNull(), "removed")
-        .when(F.col("_ah") != F.col("_bh"), "changed")
+        F.when(F.col("_before").isNull(), "added")
+        .when(F.col("_after").isNull(), "removed")
+        .when(F.col("_after") != F.col("_before"), "changed")
         .otherwise("persisting")
     )
     return (
-        before.join(after, condition, "full_outer")
+        before.join(after, place, "full_outer")
         .withColumn("change_kind", kind)
         .select(
-            F.when(F.col("_ah").isNull(), F.col("_bg")).otherwise(F.col("_ag")).alias(group),
-            F.when(F.col("_ah").isNull(), F.col("_bs")).otherwise(F.col("_as")).alias(snapshot),
-            *[F.when(F.col("_ah").isNull(), F.col(f"_b_{n}")).otherwise(F.col(f"_a_{n}")).alias(n) for n in names],
+            _decoded(F.col("_g"), records.schema[group].dataType).alias(group),
+            F.col("_s").alias(snapshot),
+            *[_decoded(F.col(n), kinds[n].dataType).alias(name) for n, name in zip(names, key)],
             "change_kind",
         )
     )
