@@ -8,9 +8,12 @@ facts.  NULL pages give NULL.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagegauge.functions.htmltree import HEADINGS, Node, parse
 from pagegauge.functions.jsonld import Facts
@@ -18,15 +21,17 @@ from pagegauge.schema import PARSED
 
 _JS = "\t\n\x0b\x0c\r                  　﻿"
 _RUN = re.compile(f"[{_JS}]+")
+_FACTS = frozenset(("nodes", "errors", "diagnostics", "block_count"))
 
 
 def _utf16(text: str) -> int:
     return len(text) + sum(c > "￿" for c in text)
 
 
-def parse_html(html: str) -> dict:
-    """All facts of an HTML page."""
+def parse_html(html: str, wanted: frozenset[str] = frozenset(PARSED.names)) -> dict:
+    """All facts of an HTML page; ``paragraphs``, ``raw_text``, ``images`` and JSON-LD facts only where wanted."""
     root = parse(html)
+    with_paragraphs, with_facts = "paragraphs" in wanted, not _FACTS.isdisjoint(wanted)
     titles: list[str] = []
     headings, paragraphs, links, images, canonicals, alternates = [], [], [], [], [], []
     meta: dict[str, str] = {}
@@ -38,6 +43,8 @@ def parse_html(html: str) -> dict:
     for n in root.walk():
         tag = n.tag
         if tag == "p" or tag == "li" or tag == "dd":
+            if not with_paragraphs:
+                continue
             text = n.text().strip(_JS)
             if _utf16(text) > 20:
                 paragraphs.append(text)
@@ -77,7 +84,7 @@ def parse_html(html: str) -> dict:
             base = n.attrs.get("href")
         elif tag == "body":
             body = body or n
-        elif tag == "script" and n.attrs.get("type", "").strip(_JS).lower() == "application/ld+json":
+        elif tag == "script" and with_facts and n.attrs.get("type", "").strip(_JS).lower() == "application/ld+json":
             facts.read(n.text(), html.count("\n", 0, n.at) + 1)
         if area is None and (tag == "main" or tag == "article" or n.raw and n.attrs.get("role") == "main"):
             area = n
@@ -97,7 +104,7 @@ def parse_html(html: str) -> dict:
         "canonicals": canonicals,
         "base_href": base,
         "alternates": alternates,
-        "raw_text": _RUN.sub(" ", whole.text()).strip(" "),
+        "raw_text": _RUN.sub(" ", whole.text()).strip(" ") if "raw_text" in wanted else None,
         "nodes": nodes,
         "errors": errors,
         "diagnostics": diagnostics,
@@ -216,8 +223,7 @@ def parse_markdown(text: str) -> dict:
     }
 
 
-def _frame(rows: list[dict | None]) -> pd.DataFrame:
-    names = PARSED.names
+def _frame(rows: list[dict | None], names: list[str] = PARSED.names) -> pd.DataFrame:
     return pd.DataFrame([[None] * len(names) if r is None else [r[n] for n in names] for r in rows], columns=names)
 
 
@@ -226,6 +232,18 @@ def parsed_html(html: pd.Series) -> pd.DataFrame:
     return _frame([None if h is None else parse_html(h) for h in html])
 
 
+def parsed_html_fields(*names: str) -> Callable[[Column | str], Column]:
+    """``parsed_html`` with these fields only: the others are neither read out of the page nor sent back."""
+    kind = StructType([PARSED[n] for n in names])
+    wanted = frozenset(names)
+
+    @F.pandas_udf(kind)
+    def read(html: pd.Series) -> pd.DataFrame:
+        return _frame([None if h is None else parse_html(h, wanted) for h in html], kind.names)
+
+    return read
+
+
 @F.pandas_udf(PARSED)
 def parsed_markdown(markdown: pd.Series) -> pd.DataFrame:
     return _frame([None if m is None else parse_markdown(m) for m in markdown])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegauge.functions.documents import parsed_html
+from pagegauge.functions.documents import parsed_html, parsed_html_fields
 from pagegauge.functions.urls import normal_url, origin
 
 
@@ -24,13 +24,14 @@ def is_html(content_type: Column, html: Column) -> Column:
     return F.coalesce(F.lower(content_type).contains("html"), F.lit(False)) | F.coalesce(html.rlike(r"(?i)\A\s*(?:<!doctype\s+html|<html\b)"), F.lit(False))
 
 
-def parsed_pages(fetches: DataFrame, html: Column | None = None) -> DataFrame:
-    """``fetches`` with normalised addresses and ``doc``, the parsed page of a successful HTML response (else NULL)."""
+def parsed_pages(fetches: DataFrame, html: Column | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """``fetches`` with normalised addresses and ``doc``, the parsed page of a successful HTML response (else NULL); with ``fields`` only these of it."""
+    read = parsed_html_fields(*fields) if fields else parsed_html
     html = F.col("html") if html is None else html
     readable = F.col("status").between(200, 299) & is_html(F.col("content_type"), F.col("html"))
     with_html = fetches.withColumn("html", F.when(readable, html))
     return with_html.withColumns({"url": normal_url("requested_url"), "final": F.coalesce(normal_url("final_url"), normal_url("requested_url"))}).withColumns(
-        {"doc": F.when(F.col("html").isNotNull(), parsed_html("html")), "origin": origin(F.col("final"))}
+        {"doc": F.when(F.col("html").isNotNull(), read("html")), "origin": origin(F.col("final"))}
     )
 
 

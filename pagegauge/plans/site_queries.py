@@ -29,15 +29,18 @@ _DOC = ("document_title", "language", "links", "canonicals", "alternates", "meta
 _SLIM = ("origin", "url", "final", "status", "redirects", "x_robots_tag", "fetched_at", "doc")
 
 
-def parsed(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows of the fetches, parsed where they lie."""
-    return parsed_pages(with_hubs(read_spread(spark, folder, "fetches", *_COLUMNS)), F.expr(TAGGED_HTML))
+#: what checks need besides
+_CHECKED = ("document_title", "titles", "title", "headings", "meta", "meta_values", "links", "images", "language", "canonicals", "base_href", "alternates", "nodes", "diagnostics", "block_count")
+
+
+def parsed(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
+    """All rows of the fetches, parsed where they lie; of the documents these fields."""
+    return parsed_pages(with_hubs(read_spread(spark, folder, "fetches", *_COLUMNS)), F.expr(TAGGED_HTML), fields or _CHECKED)
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each fetch with the fields that relations need."""
-    slim = F.when(F.col("doc").isNotNull(), F.struct(*[F.col(f"doc.{c}").alias(c) for c in _DOC]))
-    return latest(parsed(spark, folder).withColumn("doc", slim), *_SLIM)
+    return latest(parsed(spark, folder, *_DOC), *_SLIM)
 
 
 def pages_once(spark: SparkSession, folder: str) -> DataFrame:
