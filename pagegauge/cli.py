@@ -14,6 +14,7 @@ from pagegauge.operators import audit, rules
 from pagegauge.report import render_report, write_report
 from pagegauge.session import build_session
 from pagegauge.sources import files
+from pagegauge.sources.reports import write_json
 
 
 def scanned(spark: SparkSession, root: str) -> DataFrame:
@@ -25,6 +26,13 @@ def scanned(spark: SparkSession, root: str) -> DataFrame:
     return rules.dimension_scores(rules.evaluated(docs)).select(F.col("path").alias("page"), *rules.DIMENSIONS, "total")
 
 
+def scan_summary(scores: DataFrame) -> dict:
+    """The head of a scan report: how many pages, the rounded averages, zeros where there are none."""
+    found = rules.site_averages(scores).collect()
+    overall = found[0].asDict() if found else {}
+    return {"pageCount": scores.count(), "overall": {k: int(overall.get(k) or 0) for k in (*rules.DIMENSIONS, "total")}}
+
+
 def audited_build(spark: SparkSession, root: str) -> DataFrame:
     read = files.read_pages(spark, files.scan_build(root)).withColumn("doc", parsed_html("content"))
     return audit.build_checks(read).select("path", *["b_" + audit.column_name(c) for c in audit.BUILD_CHECKS])
@@ -37,6 +45,7 @@ def main(args: list[str] | None = None) -> int:
     scan.add_argument("directory")
     scan.add_argument("--threshold", type=float)
     scan.add_argument("--report")
+    scan.add_argument("--json", help="folder for the report's pages, one JSON line each")
     verbs.add_parser("audit-build").add_argument("directory")
     query = verbs.add_parser("query")
     query.add_argument("name")
@@ -49,7 +58,9 @@ def main(args: list[str] | None = None) -> int:
         scores = scanned(spark, options.directory).cache()
         total = rules.site_averages(scores).collect()
         result = total[0].asDict() if total else {}
-        print(json.dumps(result))
+        print(json.dumps(scan_summary(scores)))
+        if options.json:
+            write_json(scores, options.json)
         if options.report:
             write_report(options.report, render_report(options.directory, scores))
         scores.unpersist()

@@ -32,6 +32,18 @@ def render_report(title: str, scores: DataFrame, severities: DataFrame | None =
     return "".join(parts) + "</body></html>"
 
 
+def preview_markup(text: str, most: int = 6000) -> str:
+    """The beginning of a page's source for display, escaped, with a note where it is cut."""
+    note = f"<p>First {most} of {len(text)} characters.</p>" if len(text) > most else ""
+    return f"<pre>{escape(text[:most])}</pre>{note}"
+
+
+def rule_rows(results: list[dict]) -> str:
+    """Details of one page: each rule with its score, issues and suggestions, the weakest first."""
+    ordered = sorted(results, key=lambda r: (r["score"] / r["max_score"] if r["max_score"] else 1.0, r["id"]))
+    return _table(["rule", "score", "of", "issues", "suggestions"], [(r["id"], r["score"], r["max_score"], "; ".join(r["issues"]), "; ".join(r["suggestions"])) for r in ordered])
+
+
 def write_report(path: str, html: str) -> None:
     """An existing file is an error."""
     with open(path, "x", encoding="utf-8") as file:

@@ -22,7 +22,10 @@ BUILT = (".html", ".htm")
 def scan(root: str) -> list[str]:
     found: list[str] = []
     for folder, folders, names in os.walk(root, followlinks=True):
-        folders[:] = [f for f in folders if not f.startswith(".") and f != "node_modules"]
+        # a link to a folder above would lead round in a circle
+        above = os.path.realpath(folder)
+        inside = lambda f: (above + os.sep).startswith(os.path.realpath(os.path.join(folder, f)) + os.sep)  # noqa: B023, E731
+        folders[:] = [f for f in folders if not f.startswith(".") and f != "node_modules" and not inside(f)]
         found.extend(os.path.join(folder, n) for n in names if n.lower().endswith(PAGES))
     return found
 
@@ -39,6 +42,16 @@ def scan_build(root: str) -> list[str]:
     return sorted(found)
 
 
+def single_page(path: str, built: bool = False) -> list[str]:
+    """One file to scan, or to audit as a build; a folder, a link or another kind of file is an error."""
+    kinds = BUILT if built else PAGES
+    if not path.lower().endswith(kinds):
+        raise ValueError(f"unsupported file type: {path}")
+    if os.path.islink(path) and built or not os.path.isfile(path):
+        raise ValueError(f"not a regular file: {path}")
+    return [path]
+
+
 def read_pages(spark: SparkSession, paths: list[str], per_task: int = 200) -> DataFrame:
     """(path, format, content); a file that is missing, too large or of another kind is an error, naming the path."""
     for path in paths:

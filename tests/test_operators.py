@@ -394,3 +394,61 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.table("once").count() == 2 and spark.table("counts").agg(F.sum("n")).collect()[0][0] == 3
+
+
+def test_ledger_files(spark, tmp_path):
+    from pagegauge.sources import ledger_files
+
+    folder = str(tmp_path / "ledger")
+    ledger_files.create_ledger(folder)
+    with pytest.raises(FileExistsError):
+        ledger_files.create_ledger(folder)
+    parts = ledger_files.read_ledger(spark, folder)
+    assert {k: v.count() for k, v in parts.items()} == {"queries": 0, "observations": 0, "experiments": 0}
+    rows = spark.createDataFrame([("a b", "/p", "high", "eligible", None)], parts["queries"].schema)
+    ledger_files.save_ledger({**parts, "queries": rows}, folder)
+    assert [tuple(r) for r in ledger_files.read_ledger(spark, folder)["queries"].collect()] == [("a b", "/p", "high", "eligible", None)]
+    (tmp_path / "ledger" / "queries.json").write_text('{"version": "9", "queries": []}')
+    with pytest.raises(ValueError):
+        ledger_files.read_ledger(spark, folder)
+
+
+def test_report_violations(spark, tmp_path):
+    import json
+
+    from pagegauge.sources import reports
+
+    scores = {"structure": 20, "citability": 10, "schema": 10, "aiMetadata": 5, "contentDensity": 5, "total": 50}
+    good = {"scoringVersion": reports.SCORING_VERSIONS[0], "timestamp": "2026-01-01T00:00:00Z", "overall": scores, "pages": [{"url": "/a", "title": "A", "scores": scores, "ruleResults": [{"id": "r", "score": 1, "maxScore": 2, "issues": []}]}]}
+    page = good["pages"][0]
+    bad = {**good, "scoringVersion": "x", "timestamp": "soon", "pages": [
+        {**page, "ruleResults": [{"id": "r", "score": 3, "maxScore": 2, "issues": [{"message": "m", "severity": "bad"}]}] * 2, "sourcePreview": {"text": "t", "truncated": False, "format": "html", "capture": "markdown"}}, {**page}]}
+    for name, report in (("good", good), ("bad", bad)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(report))
+    found = lambda name: {r["violation"] for r in reports.scan_violations(reports.read_scan_reports(spark, str(tmp_path / f"{name}.json"))).collect()}
+    assert found("good") == set()
+    assert found("bad") == {"version", "timestamp", "repeated-url", "rule-score", "rule-issue", "rule-repeated", "preview"}
+    site_good = {"contractVersion": "1.0", "metricEvidenceVersion": "1.1", "startUrl": "http://s.test/", "origin": "http://s.test", "maxPages": 20, "crawledPages": 1, "truncated": False, "timestamp": "2026-01-01T00:00:00Z",
+                 "pages": [{"requestedUrl": "http://s.test/", "status": 200}], "findings": [{"kind": "http-error", "target": "x"}], "checks": [{"id": "a", "status": "PASS"}]}
+    site_bad = {**site_good, "metricEvidenceVersion": "2", "origin": "s", "maxPages": 900, "pages": [{"requestedUrl": "http://s.test/", "status": 20}], "findings": [{"kind": "odd", "target": "x"}], "checks": [{"id": "a", "status": "OK"}, {"id": "a", "status": "PASS"}]}
+    for name, report in (("site_good", site_good), ("site_bad", site_bad)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(report))
+    seen = lambda name: {r["violation"] for r in reports.site_violations(reports.read_site_reports(spark, str(tmp_path / f"{name}.json"))).collect()}
+    assert seen("site_good") == set() and seen("site_bad") == {"version", "address", "limit-range", "status", "finding", "check", "check-status"}
+
+
+def test_files_and_scan_summary(spark, tmp_path):
+    from pagegauge import cli, report
+    from pagegauge.sources import files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "up").symlink_to(tmp_path)
+    (tmp_path / "sub" / "a.md").write_text("# T\n\ntext")
+    assert files.scan(str(tmp_path)) == [str(tmp_path / "sub" / "a.md")]
+    assert files.single_page(str(tmp_path / "sub" / "a.md")) and pytest.raises(ValueError, files.single_page, str(tmp_path / "sub"))
+    summary = cli.scan_summary(cli.scanned(spark, str(tmp_path)))
+    assert summary["pageCount"] == 1 and summary["overall"]["total"] == sum(v for k, v in summary["overall"].items() if k != "total")
+    assert cli.scan_summary(cli.scanned(spark, str(tmp_path)).limit(0)) == {"pageCount": 0, "overall": {k: 0 for k in summary["overall"]}}
+    assert report.preview_markup("<b>" * 3000).count("&lt;b&gt;") == 2000 and "9000 characters" in report.preview_markup("<b>" * 3000)
+    rows = report.rule_rows([{"id": "b", "score": 5, "max_score": 5, "issues": [], "suggestions": []}, {"id": "a<", "score": 1, "max_score": 5, "issues": ["x"], "suggestions": ["y", "z"]}])
+    assert rows.index("a&lt;") < rows.index(">b<") and "y; z" in rows
