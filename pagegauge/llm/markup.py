@@ -124,7 +124,7 @@ class Converter:
             text = _ESCAPE.sub(lambda m: chr(_BASE + ord(m.group(1))), text)
         if "\\" in text:
             text = _NAMED.sub(lambda m: _protect(_NAMED_TEXT[m.group(1)]), text)
-            for _ in range(4):
+            while True:  # styles in styles, from the inside; every round shortens the text
                 before = text
                 text = _DROPPED.sub("", _URL.sub(r"\1", _HREF.sub(r"\1", _STYLED.sub(r"\1", text))))
                 if text == before:
@@ -141,7 +141,7 @@ class Converter:
                 text = re.sub(r"\[([^\[\]]+)\]", lambda m: m.group(1) if m.group(1).lower() in self.references else m.group(), text)
         if "''" in text:
             text = _QUOTES.sub("", text)
-        for _ in range(3):
+        while True:
             before = text
             if "*" in text:
                 text = _STAR.sub(r"\2", text)
