@@ -46,6 +46,8 @@ RUN = 6
 FIT_DOCUMENTS, HELD_OUT = 40_000, 4_000
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0)
 GRID = 256
+#: texts whose features are held as arrays at once
+BATCH = 200
 #: steps at one total, times that the total is lowered, by how much, and the error that ends the fit (share of the total)
 STEPS, LOWERINGS, LOWER, TOLERANCE = 12, 8, 0.97, 1e-4
 HASH_BUCKETS = 4096
@@ -82,25 +84,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _runs(text: str) -> np.ndarray:
-    """A hash of each run of ``RUN`` signs."""
-    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if len(signs) < RUN:
-        return _hashed([text])
-    n = len(signs) - RUN + 1
-    h = signs[:n].copy()
-    for k in range(1, RUN):
-        h = h * _ODD + signs[k : k + n]
-    return _mixed(h)
-
-
-def features(text: str) -> np.ndarray:
-    """Hash buckets, view by view, of the lines' beginnings, ends and build, of the shape of all the text and of all its words; digits as 0."""
-    lines = [x for line in text.splitlines() if (x := line.strip())]
+def _line_strings(text: str, lines: list[str], shape: str) -> set[str]:
+    """How the lines begin, end and are built."""
     n = len(lines)
     found = {f"n{min(n, 12)}", f"chars{min(12, len(text) // 200)}", f"mean{min(20, len(text) // max(1, n) // 25)}"}
     heads: dict[str, int] = {}
-    shape = _WORD.sub("w", _DIGITS.sub("0", "\n".join(lines)))
     for line, built in zip(lines, shape.split("\n")):
         first = line.split(" ", 2)
         plain = first[0].isalpha() and (len(first) == 1 or first[1].isalpha())
@@ -110,11 +98,44 @@ def features(text: str) -> np.ndarray:
         found.add("e" + line[-1])
         found.add("p" + _SIGNS.sub("", built))
     found.update(f"h{head}*{min(4, round(4 * c / n))}" for head, c in heads.items())
-    words = _hashed(_DIGITS.sub("0", text.lower()).split())
+    return found
+
+
+def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, feature) in order, of all texts at once: hash buckets, view by view, of the lines' beginnings,
+    ends and build, of the shape of all the text and of all its words; digits as 0."""
+    of: list[list[str]] = []
+    shapes: list[str] = []
+    words: list[list[str]] = []
+    for text in texts:
+        lines = [x for line in text.splitlines() if (x := line.strip())]
+        shape = _WORD.sub("w", _DIGITS.sub("0", "\n".join(lines)))
+        of.append(list(_line_strings(text, lines, shape)))
+        shapes.append(shape.ljust(RUN))
+        words.append(_DIGITS.sub("0", text.lower()).split())
+    number = lambda parts: np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+    signs = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = max(0, len(signs) - RUN + 1)
+    at_shape, at_word = number(shapes), number(words)
+    word = _hashed([w for x in words for w in x])
     with np.errstate(over="ignore"):
-        pairs = _mixed(words[:-1] * _ODD + words[1:])
-        views = (_hashed(list(found)), _runs(shape), np.concatenate((words, pairs)))
-    return np.concatenate([np.unique(view % np.uint64(BUCKETS)).astype(np.int64) + i * BUCKETS for i, view in enumerate(views)])
+        run = signs[:n].copy()
+        for k in range(1, RUN):
+            run = run * _ODD + signs[k : k + n]
+        inside = at_shape[:n] == at_shape[len(at_shape) - n :]
+        pair = _mixed(word[:-1] * _ODD + word[1:])
+        joined = at_word[:-1] == at_word[1:]
+        views = (
+            (number(of), _hashed([x for f in of for x in f])), (at_shape[:n][inside], _mixed(run[inside])),
+            (np.concatenate((at_word, at_word[1:][joined])), np.concatenate((word, pair[joined]))),
+        )
+    keys = np.concatenate([at * FEATURES + i * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64) for i, (at, h) in enumerate(views)])
+    keys = np.unique(keys)
+    return keys // FEATURES, keys % FEATURES
+
+
+def features(text: str) -> np.ndarray:
+    return text_features([text])[1]
 
 
 def targets_of(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
@@ -155,11 +176,19 @@ class DomainClassifier:
         self.base = np.log1p(-np.minimum(rate, 1 - 1e-9)).reshape(len(domains), len(VIEWS), BUCKETS).sum(axis=2)
         self.prior = np.log((documents + 1) / (documents.sum() + len(domains)))
 
-    def score(self, f: np.ndarray) -> np.ndarray:
-        score = np.zeros(len(self.domains))
-        for view, own in enumerate(np.split(f, np.searchsorted(f, [BUCKETS * v for v in range(1, len(VIEWS))]))):
-            score += VIEWS[view] * (self.base[:, view] + self.prior + self.weight[:, own].sum(axis=1)) / math.sqrt(1 + len(own))
-        return score
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """One row of scores for each text."""
+        out = np.empty((len(texts), len(self.domains)))
+        for at in range(0, len(texts), BATCH):
+            part = texts[at : at + BATCH]
+            number, feature = text_features(part)
+            # sums of each text's view: differences of the running sum at the views' ends
+            ends = np.searchsorted(number * len(VIEWS) + feature // BUCKETS, np.arange(len(part) * len(VIEWS) + 1))
+            running = np.vstack((np.zeros(len(self.domains)), np.cumsum(self.weight.T[feature], axis=0)))
+            sums = (running[ends[1:]] - running[ends[:-1]]).reshape(len(part), len(VIEWS), -1)
+            scale = np.array(VIEWS) / np.sqrt(1 + np.diff(ends).reshape(len(part), len(VIEWS)))
+            out[at : at + len(part)] = ((sums + (self.base + self.prior[:, None]).T) * scale[:, :, None]).sum(axis=1)
+        return out
 
     def posteriors(self, scores: np.ndarray) -> np.ndarray:
         z = scores * self.temperature
@@ -193,9 +222,12 @@ def fit_classifier(docs: DataFrame, domains: list[str]) -> DomainClassifier:
         sums = np.zeros((len(domains), FEATURES), dtype=np.int64)
         documents = np.zeros(len(domains), dtype=np.int64)
         for part in parts:
-            for source, text in zip(part["source"], part["text"]):
-                sums[at[source], features(text)] += 1
-                documents[at[source]] += 1
+            place = np.array([at[x] for x in part["source"]], dtype=np.int64)
+            documents += np.bincount(place, minlength=len(domains))
+            texts = part["text"].tolist()
+            for first in range(0, len(texts), BATCH):
+                number, feature = text_features(texts[first : first + BATCH])
+                sums += np.bincount(place[first + number] * FEATURES + feature, minlength=sums.size).reshape(sums.shape)
         s, f = np.nonzero(sums)
         own = np.flatnonzero(documents)
         yield pd.DataFrame({"s": np.concatenate((s, own)), "f": np.concatenate((f, np.full(len(own), -1))), "n": np.concatenate((sums[s, f], documents[own]))})
@@ -210,7 +242,7 @@ def fit_classifier(docs: DataFrame, domains: list[str]) -> DomainClassifier:
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"s": [at[x] for x in part["source"]], "z": [classifier.score(features(t)) for t in part["text"]]})
+            yield pd.DataFrame({"s": [at[x] for x in part["source"]], "z": list(classifier.scores(part["text"].tolist()))})
 
     rows = scored_rows.mapInPandas(score, "s int, z array<double>").collect()  # about HELD_OUT
     if rows:
@@ -238,7 +270,7 @@ def soft_documents(docs: DataFrame, targets: list[tuple[str, float, int]], path:
             part = part.assign(n_tokens=[len(encode(t, pairs, cache)) for t in part["text"]])
             part = part[part["n_tokens"] > 0]
             if len(part):
-                q = classifier.posteriors(np.stack([classifier.score(features(t)) for t in part["text"]]))
+                q = classifier.posteriors(classifier.scores(part["text"].tolist()))
                 steps = np.floor(q * GRID)
                 best = q.argmax(axis=1)
                 steps[np.arange(len(q)), best] += GRID - steps.sum(axis=1)  # the steps of a document sum to GRID

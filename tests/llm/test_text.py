@@ -319,6 +319,13 @@ def test_features_read_the_whole_text():
     assert set(mixing.features("one\ntwo three four")) != set(mixing.features("one\ntwo three five"))
 
 
+@given(st.lists(st.text(alphabet="ab 1\n.é", max_size=20), max_size=6))
+def test_features_of_many_texts_are_those_of_each(texts):
+    number, feature = mixing.text_features(texts)
+    for i, text in enumerate(texts):
+        assert feature[number == i].tolist() == mixing.features(text).tolist()
+
+
 def test_features_and_rates():
     import numpy as np
 
