@@ -43,7 +43,7 @@ VIEWS = (1.0, 1.0, 0.1)
 FEATURES = BUCKETS * len(VIEWS)
 RUN = 6
 #: bounds of the labelled rows that the classifier is fitted on and its temperature is chosen on
-FIT_DOCUMENTS, HELD_OUT = 40_000, 4_000
+FIT_DOCUMENTS, HELD_OUT = 20_000, 2_000
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0)
 GRID = 256
 #: texts whose features are held as arrays at once
@@ -55,7 +55,7 @@ HASH_BUCKETS = 4096
 MAX_SOURCES = 10_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SIGNS = re.compile(r"[\w\s]")
+_SIGNS = re.compile(r"\w|[^\S\n]")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -89,14 +89,14 @@ def _line_strings(text: str, lines: list[str], shape: str) -> set[str]:
     n = len(lines)
     found = {f"n{min(n, 12)}", f"chars{min(12, len(text) // 200)}", f"mean{min(20, len(text) // max(1, n) // 25)}"}
     heads: dict[str, int] = {}
-    for line, built in zip(lines, shape.split("\n")):
+    for line, built, signs in zip(lines, shape.split("\n"), _SIGNS.sub("", shape).split("\n")):
         first = line.split(" ", 2)
         plain = first[0].isalpha() and (len(first) == 1 or first[1].isalpha())
-        head = "w" if plain else _DIGITS.sub("0", first[0].lower())
+        head = "w" if plain else first[0].lower()
         heads[head] = heads.get(head, 0) + 1
         found.add("s" + built[:12])
         found.add("e" + line[-1])
-        found.add("p" + _SIGNS.sub("", built))
+        found.add("p" + signs)
     found.update(f"h{head}*{min(4, round(4 * c / n))}" for head, c in heads.items())
     return found
 
@@ -108,11 +108,12 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shapes: list[str] = []
     words: list[list[str]] = []
     for text in texts:
+        text = _DIGITS.sub("0", text)
         lines = [x for line in text.splitlines() if (x := line.strip())]
-        shape = _WORD.sub("w", _DIGITS.sub("0", "\n".join(lines)))
+        shape = _WORD.sub("w", "\n".join(lines))
         of.append(list(_line_strings(text, lines, shape)))
         shapes.append(shape.ljust(RUN))
-        words.append(_DIGITS.sub("0", text.lower()).split())
+        words.append(text.lower().split())
     number = lambda parts: np.repeat(np.arange(len(texts)), [len(x) for x in parts])
     signs = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = max(0, len(signs) - RUN + 1)
