@@ -169,12 +169,12 @@ def test_reports_round_trip(spark, tmp_path):
     from pagegauge.sources import reports
 
     dims = {"structure": 20, "citability": 20, "schema": 20, "aiMetadata": 10, "contentDensity": 10}
-    good = {"scoringVersion": "1", "timestamp": "t1", "overall": {**dims, "total": 80}, "pages": [{"url": "u", "title": "t", "scores": {**dims, "total": 80}}]}
-    bad = {**good, "timestamp": "t2", "overall": {**dims, "structure": 26, "total": 80}}
+    good = {"scoringVersion": reports.SCORING_VERSIONS[0], "timestamp": "2026-01-01T00:00:00Z", "overall": {**dims, "total": 80}, "pages": [{"url": "u", "title": "t", "scores": {**dims, "total": 80}}]}
+    bad = {**good, "timestamp": "2026-01-02T00:00:00Z", "overall": {**dims, "structure": 26, "total": 80}}
     for i, report in enumerate((good, bad)):
         (tmp_path / f"{i}.json").write_text(json.dumps(report))
     found = reports.scan_violations(reports.read_scan_reports(spark, str(tmp_path))).collect()
-    assert sorted(tuple(r) for r in found) == [("t2", "average"), ("t2", "score-range"), ("t2", "total")]
+    assert sorted(tuple(r) for r in found) == [("2026-01-02T00:00:00Z", v) for v in ("average", "score-range", "total")]
     reports.write_json(spark.range(1).toDF("x"), str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exists"):
         reports.write_json(spark.range(1).toDF("x"), str(tmp_path / "out"))
