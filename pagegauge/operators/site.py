@@ -156,6 +156,16 @@ def duplicate_titles(pages: DataFrame, lookup: DataFrame) -> DataFrame:
     return sizes.join(pairs, ["origin", "title"], "left").where(F.coalesce("mutual", F.lit(0)) < F.col("n") * (F.col("n") - 1) / 2).select("origin", "title", "n_pages")
 
 
+def group_members(pages: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(origin, kind, target, page): the different pages behind each shared canonical and each duplicate title, as rows, since a group may be large."""
+    shared = canonical_findings(pages, lookup).where("kind = 'shared-canonical'")
+    owners = canonical_rows(pages).where(F.col("resolved").isNotNull()).select("origin", F.col("resolved").alias("target"), F.col("final").alias("page")).distinct()
+    titles = duplicate_titles(pages, lookup).select("origin", F.col("title").alias("target"))
+    titled = pages.where(F.col("doc").isNotNull()).select("origin", F.lower("doc.document_title").alias("target"), F.col("final").alias("page")).distinct()
+    by_title = titled.join(titles, ["origin", "target"], "left_semi").select("origin", F.lit("duplicate-title").alias("kind"), "target", "page")
+    return shared.join(owners, ["origin", "target"]).select("origin", "kind", "target", "page").unionByName(by_title)
+
+
 def sitemap_omissions(pages: DataFrame, lookup: DataFrame, listed: DataFrame) -> DataFrame:
     """Indexable pages missing from the sitemap (origin, url) of their site, where it has one."""
     verified = verified_canonicals(pages, lookup)

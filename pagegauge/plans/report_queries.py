@@ -392,3 +392,9 @@ SELECT fixture_id, '{"@context":"https://schema.org","@type":"BreadcrumbList","i
     + ", ".join(f'v."{d}" AS "v_{d}"' for d, _ in _DIMS) + " FROM t LEFT JOIN v USING (site_id)) SELECT site_id, n AS n_reviews, CAST(" + _MIX.format(r="total", a="s") + " AS INT) AS consensus, "
     + ", ".join(f'CAST(least({most}, {_MIX.format(r=chr(34) + d + chr(34), a=chr(34) + "v_" + d + chr(34))}) AS INT) AS "{d}"' for d, most in _DIMS) + " FROM j",
 }
+ORACLE_SQL["generated_bundle"] = (
+    f"SELECT 'page-list' AS artefact, host AS subject, section * {1 << 40} + ord AS ord, line AS text FROM ({ORACLE_SQL['site_list']}) "
+    f"UNION ALL SELECT 'breadcrumb', fixture_id::VARCHAR, 0, json FROM ({ORACLE_SQL['breadcrumb_candidates']}) "
+    f"UNION ALL SELECT 'article', fixture_id::VARCHAR, 0, json FROM ({ORACLE_SQL['article_candidates']}) "
+    f"UNION ALL SELECT 'robots', origin, 0, 'User-agent: ' || crawler FROM ({ORACLE_SQL['robots_suggestions']})"
+)

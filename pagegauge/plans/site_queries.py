@@ -151,6 +151,12 @@ def duplicate_titles(spark: SparkSession, folder: str) -> DataFrame:
     return site.duplicate_titles(p, site.page_lookup(p))
 
 
+def finding_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages behind each shared canonical and each duplicate title."""
+    p = pages_once(spark, folder)
+    return site.group_members(p, cut_lineage(site.page_lookup(p)))
+
+
 def sitemap_omissions(spark: SparkSession, folder: str) -> DataFrame:
     p = pages_once(spark, folder)
     return site.sitemap_omissions(p, site.page_lookup(p), _listed(spark, folder))
@@ -436,7 +442,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_facts, audit_checks, audit_summary, page_evidence, document_audit, markdown_facts, build_checks, link_edges, link_counts, internal_targets, broken_targets, unchecked_targets,
-        verified_canonicals, canonical_findings, duplicate_titles, sitemap_omissions, orphan_candidates, site_findings_derived, page_metrics, site_metrics_derived, sitemap_pages, discovered_from, sitemap_classes, site_checks, site_check_summary, build_duplicates, reviews,
+        verified_canonicals, canonical_findings, duplicate_titles, finding_members, sitemap_omissions, orphan_candidates, site_findings_derived, page_metrics, site_metrics_derived, sitemap_pages, discovered_from, sitemap_classes, site_checks, site_check_summary, build_duplicates, reviews,
         url_gate, page_texts, redirect_hops, robots_rules, robots_decisions, sitemap_entries, crawl_order, crawl_rest,
     )
 }
@@ -482,6 +488,8 @@ SELECT fetch_id, unnest(['http-status', 'meta-description', 'heading-structure',
     "verified_canonicals": _PAGES + "SELECT * FROM ver",
     "canonical_findings": _PAGES + "SELECT * FROM cf",
     "duplicate_titles": _PAGES + "SELECT origin, title, n_pages FROM dt",
+    "finding_members": _PAGES + """SELECT DISTINCT origin, 'shared-canonical' AS kind, resolved AS target, final AS page FROM cr WHERE (origin, resolved) IN (SELECT (origin, target) FROM cf WHERE kind = 'shared-canonical')
+  UNION SELECT origin, 'duplicate-title', title, final FROM ti WHERE (origin, title) IN (SELECT (origin, title) FROM dt)""",
     "sitemap_omissions": _PAGES + "SELECT * FROM so",
     "orphan_candidates": _PAGES + "SELECT * FROM oc",
     "site_findings_derived": _PAGES + """SELECT DISTINCT origin, 'http-error' AS kind, url AS target FROM p WHERE status >= 400
