@@ -22,9 +22,9 @@ def normalise(value: str | None, base: str | None = None) -> str | None:
     if value is None:
         return None
     value = re.sub(r"[\t\n\r]", "", value.strip(_EDGE))
-    if base and not _SCHEME.match(value):
-        value = urljoin(base, value) if value else base
     try:
+        if base and not _SCHEME.match(value):
+            value = urljoin(base, value) if value else base
         parts = urlsplit(value)
         scheme = parts.scheme.lower()
         if scheme not in _PORTS or not parts.hostname:
@@ -60,14 +60,41 @@ def normalise(value: str | None, base: str | None = None) -> str | None:
     return urlunsplit((scheme, netloc, "/" + "/".join(kept), quote(parts.query, safe=_QUERY_SAFE), ""))
 
 
+#: an address that is its own normal form, and a path below a site that needs no more than the site before it
+_REGULAR_PATH = r"/(?!/)(?!(?:[^?]*/)?\.)[A-Za-z0-9_.~!$&()*+,;=:@/\-]*(?:\?[A-Za-z0-9_.~!$&()*+,;=:@/?\-]+)?"
+_REGULAR_SITE = r"https?://[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?"
+_REGULAR = rf"\A{_REGULAR_SITE}{_REGULAR_PATH}\z"
+
+
 @F.pandas_udf(StringType())
-def normal_url(value: pd.Series) -> pd.Series:
-    return pd.Series([normalise(v) for v in value], dtype="object")
+def _normal(value: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else normalise(v) for v in value], dtype="object")
 
 
 @F.pandas_udf(StringType())
-def resolved_url(value: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([normalise(v, b) for v, b in zip(value, base)], dtype="object")
+def _resolved(value: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else normalise(v, b) for v, b in zip(value, base)], dtype="object")
+
+
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def normal_url(value: Column | str) -> Column:
+    """The normal form of an address; most are it already and never leave the JVM."""
+    value = _column(value)
+    regular = F.coalesce(value.rlike(_REGULAR), F.lit(False))
+    return F.when(regular, value).otherwise(_normal(F.when(~regular, value)))
+
+
+def resolved_url(value: Column | str, base: Column | str) -> Column:
+    """The normal form of an address found at ``base``; regular addresses and paths from the root never leave the JVM."""
+    value, base = _column(value), _column(base)
+    regular = F.coalesce(value.rlike(_REGULAR), F.lit(False))
+    rooted = ~regular & F.coalesce(value.rlike(rf"\A{_REGULAR_PATH}\z") & base.rlike(_REGULAR), F.lit(False))
+    rest = ~regular & ~rooted
+    site = F.regexp_extract(base, rf"\A{_REGULAR_SITE}", 0)
+    return F.when(regular, value).when(rooted, F.concat(site, value)).otherwise(_resolved(F.when(rest, value), F.when(rest, base)))
 
 
 def origin(url: Column) -> Column:

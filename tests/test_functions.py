@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pagegauge.functions.documents import parse_html, parse_markdown, without_fences
 from pagegauge.functions.htmltree import find_all, parse
 from pagegauge.functions.jsonld import Facts
+from pagegauge.functions import urls
 from pagegauge.functions.urls import normalise
 from pagegauge.operators.crawl import check_page_limit
 from pagegauge.operators.rules import repetition_signals
@@ -178,3 +179,18 @@ def test_reports_round_trip(spark, tmp_path):
     reports.write_json(spark.range(1).toDF("x"), str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exists"):
         reports.write_json(spark.range(1).toDF("x"), str(tmp_path / "out"))
+
+
+def test_native_addresses_are_those_of_the_reader(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    parts = ["http://", "https://", "HTTP://", "//", "/", "a", "B", "x.test", "S.Test", ":80", ":443", ":8080", ".", "..", "/./", "/../", "?", "q=1", "#f", "%2e", "%41", " ", "é", "'", "\"", "@", "mailto:", "\\", "&", "-", "[", "a.b"]
+    values = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 7))) for _ in range(3000)] + [None, "", "http://x.test", "http://x.test/", "https://x.test/a?", "http://x.test/a/..", "http://x.test/.a", "/a.b/c", "//x.test/a"]
+    bases = [rnd.choice(["http://s.test/d/e?x=1", "https://s.test/", "HTTP://S.test/a", None, "s", "http://s.test"]) for _ in values]
+    df = spark.createDataFrame(list(zip(values, bases)), "v string, b string").select("v", "b", urls.normal_url("v").alias("n"), urls.resolved_url(F.col("v"), "b").alias("r"))
+    for r in df.collect():
+        assert r["n"] == urls.normalise(r["v"]), r
+        assert r["r"] == urls.normalise(r["v"], r["b"]), r
