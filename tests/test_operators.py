@@ -452,3 +452,14 @@ def test_files_and_scan_summary(spark, tmp_path):
     assert report.preview_markup("<b>" * 3000).count("&lt;b&gt;") == 2000 and "9000 characters" in report.preview_markup("<b>" * 3000)
     rows = report.rule_rows([{"id": "b", "score": 5, "max_score": 5, "issues": [], "suggestions": []}, {"id": "a<", "score": 1, "max_score": 5, "issues": ["x"], "suggestions": ["y", "z"]}])
     assert rows.index("a&lt;") < rows.index(">b<") and "y; z" in rows
+
+
+def test_corrections_without_a_time_or_at_the_same_time_do_not_depend_on_the_order(spark):
+    schema = "site_id int, snapshot_no int, kind string, target string, severity string, observed string, occurrences int, delivered_at timestamp"
+    row = lambda s, n, at, target="x": (1, n, "k", target, s, None, None, at)
+    rows = [row("a", 1, ts(1)), row("a", 2, None), row("b", 2, None), row("a", 3, ts(3)), row("b", 3, ts(3)), row("a", 3, ts(2)), row("z", 3, None), row("a", 1, None, None), row("a", 2, ts(1), None), row("b", 3, ts(1), None)]
+    calendar = spark.createDataFrame([(1, n) for n in (1, 2, 3)], "site_id int, snapshot_no int")
+    got = {tuple(sorted(map(repr, snapshot_changes(spark.createDataFrame(part, schema).repartition(n), calendar).collect()))) for n in (1, 3) for part in (rows, rows[::-1])}
+    assert len(got) == 1
+    changed = {(r["snapshot_no"], r["target"]): r["change_kind"] for r in snapshot_changes(spark.createDataFrame(rows, schema), calendar).collect()}
+    assert (2, None) not in changed and changed[3, None] == "changed"
